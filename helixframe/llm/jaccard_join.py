@@ -155,20 +155,21 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _contents(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """__s, __set (sorted shingle hashes) of the classes, from one text of each."""
+    """__s, __set (sorted shingle hashes), __bits of the classes, from one text of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
-                yield pd.DataFrame({"__s": part["__s"], "__set": [shingles(split_lower(t), known, n).view(np.int64) for t in part["__text"].tolist()]})
+                found = [shingles(split_lower(t), known, n) for t in part["__text"].tolist()]
+                yield pd.DataFrame({"__s": part["__s"], "__set": [x.view(np.int64) for x in found], "__bits": [parity_bits(x).tobytes() for x in found]})
 
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__x"))
     wanted = cut(members.join(classes, "__s", "left_semi").groupBy("__s").agg(best.alias("__o")).select("__s", F.col("__o.doc_id").alias("__id"), F.col("__o.__x").alias("__ox")))
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("__x"), text_of().alias("__text"))
     texts = texts.join(small(wanted, 64), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__ox")))
-    return texts.select("__s", "__text").mapInPandas(run, "__s long, __set array<long>").dropDuplicates(["__s"])
+    return texts.select("__s", "__text").mapInPandas(run, "__s long, __set array<long>, __bits binary").dropDuplicates(["__s"])
 
 
 def _verify(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
@@ -220,14 +221,10 @@ def _second_round(rows: DataFrame, comps: DataFrame, contents: DataFrame, percen
     dealt = open_.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__w") - 1)))
     dealt = dealt.select("__key", F.least("__o", "__i").alias("__p"), F.greatest("__o", "__i").alias("__q"), "__o", "__s", "__c")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        found, hold = [], group.drop_duplicates("__s")
-        s, c, o, own = hold["__s"].to_numpy(), hold["__c"].to_numpy(), hold["__o"].to_numpy(), hold["__set"].tolist()
-        if len(np.unique(c)) < 2:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        bits = np.array([parity_bits(np.asarray(x).view(np.uint64)) for x in own])
+    def compare(s, c, o, p, q, bits, own):
+        """Linked pairs of one group: block p against block q of a bucket."""
+        found = []
         sizes = np.array([len(x) for x in own])
-        p, q = group["__p"].iloc[0], group["__q"].iloc[0]
         root = {x: x for x in c.tolist()}
 
         def find(x):
@@ -236,22 +233,48 @@ def _second_round(rows: DataFrame, comps: DataFrame, contents: DataFrame, percen
                 x = root[x]
             return x
 
+        at = np.arange(len(s))
         for k in np.flatnonzero(o == p).tolist():
-            rest = np.flatnonzero((o == q) & (c != c[k]) & ((o != o[k]) | (np.arange(len(s)) > k)))
+            rest = np.flatnonzero((o == q) & (c != c[k]) & ((p != q) | (at > k)))
             small_, large = np.minimum(sizes[rest], sizes[k]), np.maximum(sizes[rest], sizes[k])
             rest = rest[100 * small_ >= percent * large]
             if not len(rest):
                 continue
-            apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1)
+            apart = np.bitwise_count(np.stack([bits[j] for j in rest]) ^ bits[k]).sum(1)
             rest = rest[(100 + percent) * apart <= (100 - percent) * (sizes[rest] + sizes[k])]
             for j in rest.tolist():
                 x, y = find(int(c[k])), find(int(c[j]))
                 if x != y and _linked(own[k], own[j], percent):
-                    found.append((s[k], s[j]))
+                    found.append((int(s[k]), int(s[j])))
                     root[x] = y
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64") if found else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        return found
 
-    return dealt.join(contents, "__s").groupBy("__key", "__p", "__q").applyInPandas(compare, "a long, b long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def groups(frame: pd.DataFrame) -> Iterator[list[tuple[int, int]]]:
+            if len(frame):
+                ids = frame[["__key", "__p", "__q"]].to_numpy()
+                edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(frame)]
+                s, c, o = (frame[x].to_numpy() for x in ("__s", "__c", "__o"))
+                own, bits = frame["__set"].tolist(), [np.frombuffer(x, np.uint64) for x in frame["__bits"].tolist()]
+                for lo, hi in zip(edges, edges[1:]):
+                    if hi - lo > 1:
+                        yield compare(s[lo:hi], c[lo:hi], o[lo:hi], ids[lo, 1], ids[lo, 2], bits[lo:hi], own[lo:hi])
+
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            ids = batch[["__key", "__p", "__q"]].to_numpy()
+            last = int(np.flatnonzero((ids != ids[-1]).any(1)).max(initial=-1)) + 1
+            held = batch.iloc[last:]
+            found = [x for g in groups(batch.iloc[:last]) for x in g]
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+        found = [] if held is None else [x for g in groups(held) for x in g]
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    grouped = dealt.join(contents, "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
+    return grouped.mapInPandas(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
