@@ -6,13 +6,14 @@ So two equal windows share an aligned anchor: a run of ``L - V + 1`` words that
 starts, in both, at a cover position inside the window.  Only 5 of 21 positions
 are cover positions.
 
+0. All windows of a text that occurs twice are repeated; one row of equal texts
+   speaks for all of them in what follows.
 1. Anchors of every document are hashed; hashes that occur twice are found by a
-   partial aggregate.  Anchors that repeat in their own document are known at
-   once and sent a single time, marked.
+   partial aggregate.
 2. Documents learn which of their blocks (of V positions) hold repeated anchors.
    Every window that can contain one is a candidate; this loses none.
-3. Candidates are extended: the hash (128 bits) of the whole window is counted
-   in the same way.  Windows that occur twice, in one document or in two, are
+3. Candidates are extended: the hash (96 bits) of the whole window is counted in
+   the same way.  Windows that occur twice, in one document or in two, are
    removed; windows are judged on the input.
 
 No pair of documents is ever formed: a passage with a thousand copies costs a
@@ -36,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read, small, text_of
+from .common import cut, drop, read, small, text_of
 
 L = 35
 V = 21
 COVER = (0, 1, 4, 14, 16)
 ANCHOR = L - V + 1
-_MEMO = 500_000
+_MEMO = 200_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,15 +96,9 @@ def cover_positions(n: int) -> np.ndarray:
     return p[np.isin(p % V, COVER)]
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (hash, block) pairs of a document, and whether the hash repeats in the document."""
-    p = cover_positions(len(h))
-    if not len(p) or len(h) < L:
-        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, bool)
-    a = windows(h, ANCHOR)[p]
-    _, back, count = np.unique(a, return_inverse=True, return_counts=True)
-    twice = count[back] > 1
-    return a, (p // V).astype(np.int32), twice
+def anchors(h: np.ndarray) -> np.ndarray:
+    """Hashes of a document's anchors, by position; anchor i starts in block i // len(COVER)."""
+    return windows(h, ANCHOR)[cover_positions(len(h))] if len(h) >= L else np.empty(0, np.uint64)
 
 
 def candidates(n: int, blocks: np.ndarray) -> np.ndarray:
@@ -115,76 +110,75 @@ def candidates(n: int, blocks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(mark)[: max(0, n - L + 1)] > 0)
 
 
-def covered(n: int, starts: np.ndarray) -> np.ndarray:
-    """Which words lie in a window that starts at one of the positions."""
-    mark = np.zeros(n + 1, np.int32)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, np.minimum(n, starts + L), -1)
-    return np.cumsum(mark)[:n] > 0
-
-
 def _docs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("__text"), F.xxhash64("doc_id", text_of()).alias("__k"))
 
 
+def _with_copies(docs: DataFrame) -> DataFrame:
+    """``_docs`` with __d: 0 for a text that occurs once, 1 for one row of equal texts, 2 for the other rows.
+
+    Every window of a text that occurs twice is repeated, so only one row of
+    equal texts has to be compared with other documents.
+    """
+    pair = [F.xxhash64("__text").alias("__x1"), F.xxhash64(F.lit(7), "__text").alias("__x2")]
+    own = _docs(docs)
+    many = cut(own.select(*pair, "__k").groupBy("__x1", "__x2").agg(F.count("*").alias("__m"), F.min("__k").alias("__first")).where("__m >= 2"))
+    kind = F.when(F.col("__first").isNull(), 0).when(F.col("__first") == F.col("__k"), 1).otherwise(2)
+    return own.select("*", *pair).join(small(many, 64), ["__x1", "__x2"], "left").select("doc_id", "__text", "__k", kind.alias("__d"))
+
+
 def repeated_blocks(docs: DataFrame) -> DataFrame:
-    """__k, __blocks: for each document with repeated anchors, their blocks."""
+    """__k, __blocks: for each text that is to be compared and has repeated anchors, their blocks."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
-                keys, hs, bs, ts = [], [], [], []
-                for k, text in zip(part["__k"].tolist(), part["__text"].tolist()):
-                    a, b, t = anchors(known.of(split_words(text)))
-                    # A hash that repeats here is sent once for each block, marked.
-                    keys.append(np.full(len(a), k, np.int64))
-                    hs.append(a.view(np.int64))
-                    bs.append(b)
-                    ts.append(t)
-                if keys:
-                    yield pd.DataFrame({"__k": np.concatenate(keys), "__h": np.concatenate(hs), "__b": np.concatenate(bs), "__t": np.concatenate(ts)})
-
-    rows = cut(_docs(docs).select("__k", "__text").mapInPandas(emit, "__k long, __h long, __b int, __t boolean"))
-    twice = rows.groupBy("__h").agg(F.count("*").alias("__n")).where("__n >= 2").select("__h")
-    met = rows.where("not __t").join(twice, "__h", "left_semi").select("__k", "__b")
-    return met.unionAll(rows.where("__t").select("__k", "__b")).groupBy("__k").agg(F.collect_list("__b").alias("__blocks"))
+                yield pd.DataFrame({"__k": part["__k"], "__hs": [anchors(known.of(split_words(t))).view(np.int64) for t in part["__text"].tolist()]})
+
+    own = cut(docs.where("__d < 2").select("__k", "__text").mapInPandas(emit, "__k long, __hs array<long>").withColumn("__row", F.monotonically_increasing_id()))
+    twice = own.select(F.explode("__hs").alias("__h")).groupBy("__h").agg(F.count("*").alias("__n")).where("__n >= 2").select("__h")
+    rows = own.select("__row", F.posexplode("__hs").alias("__i", "__h")).select("__row", "__h", F.floor(F.col("__i") / len(COVER)).cast("int").alias("__b"))
+    met = rows.join(twice, "__h", "left_semi").groupBy("__row").agg(F.collect_list("__b").alias("__blocks"))
+    out = cut(own.select("__row", "__k").join(met, "__row").select("__k", "__blocks"))
+    drop(own)
+    return out
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """__k, __starts: for each document with removed words, the first words of its repeated windows."""
-    blocks = cut(repeated_blocks(docs))
-    near = _docs(docs).select("__k", "__text").join(_bounded(blocks, "__blocks"), "__k")
+    """__k, __starts: for each text that occurs once and has removed words, the first words of its repeated windows."""
+    blocks = repeated_blocks(docs)
+    near = docs.where("__d < 2").select("__k", "__text", "__d").join(_bounded(blocks, "__blocks"), "__k")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
         for batch in batches:
             for lo in range(0, len(batch), 200):
-                part = batch.iloc[lo : lo + 200]
                 out = []
-                for k, text, b in zip(part["__k"].tolist(), part["__text"].tolist(), part["__blocks"].tolist()):
+                for k, text, d, b in batch.iloc[lo : lo + 200][["__k", "__text", "__d", "__blocks"]].itertuples(index=False, name=None):
                     h = known.of(split_words(text))
                     p = candidates(len(h), np.unique(np.asarray(b, np.int64)))
-                    if len(p):
-                        w1, w2 = windows(h, L)[p], windows(h, L, 1)[p]
-                        _, first, back, count = np.unique(w1, return_index=True, return_inverse=True, return_counts=True)
-                        twice = count[back] > 1
-                        # Windows that repeat here are known; one of each still counts for other documents.
-                        keep = ~twice
-                        keep[first] = True
-                        out.append((np.full(keep.sum(), k, np.int64), w1[keep].view(np.int64), w2[keep].view(np.int64), p[keep].astype(np.int32), twice[keep]))
-                        if twice.any():
-                            more = twice & ~keep
-                            out.append((np.full(more.sum(), k, np.int64), np.zeros(more.sum(), np.int64), np.zeros(more.sum(), np.int64), p[more].astype(np.int32), np.ones(more.sum(), bool)))
+                    if not len(p):
+                        continue
+                    w1, w2 = windows(h, L)[p], windows(h, L, 1)[p]
+                    # Windows that repeat in the document are known; one of each still counts for others.
+                    _, first, back, count = np.unique(w1, return_index=True, return_inverse=True, return_counts=True)
+                    twice = count[back] > 1
+                    once = np.sort(first)
+                    open_ = ~twice[once] if d == 0 else np.zeros(len(once), bool)
+                    out.append((k, w1[once].view(np.int64), (w2[once] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.where(open_, p[once], -1).astype(np.int32), p[twice].astype(np.int32) if d == 0 else np.empty(0, np.int32)))
                 if out:
-                    yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("__k", "__h1", "__h2", "__p", "__t"), zip(*out))})
-
-    rows = cut(near.mapInPandas(extend, "__k long, __h1 long, __h2 long, __p int, __t boolean"))
-    counted = rows.where("not (__t and __h1 = 0 and __h2 = 0)")
-    twice = counted.groupBy("__h1", "__h2").agg(F.count("*").alias("__n")).where("__n >= 2").select("__h1", "__h2")
-    met = rows.where("not __t").join(twice, ["__h1", "__h2"], "left_semi").select("__k", "__p")
-    return met.unionAll(rows.where("__t").select("__k", "__p")).groupBy("__k").agg(F.collect_list("__p").alias("__starts"))
+                    yield pd.DataFrame(out, columns=["__k", "__h1", "__h2", "__p", "__sure"])
+
+    own = cut(near.mapInPandas(extend, "__k long, __h1 array<long>, __h2 array<int>, __p array<int>, __sure array<int>").withColumn("__row", F.monotonically_increasing_id()))
+    flat = own.select("__row", F.explode(F.arrays_zip("__h1", "__h2", "__p")).alias("x")).select("__row", "x.*")
+    twice = flat.groupBy("__h1", "__h2").agg(F.count("*").alias("__n")).where("__n >= 2").select("__h1", "__h2")
+    met = flat.where("__p >= 0").join(twice, ["__h1", "__h2"], "left_semi").groupBy("__row").agg(F.collect_list("__p").alias("__met"))
+    both = F.concat(F.coalesce("__met", F.array().cast("array<int>")), "__sure")
+    out = cut(own.select("__row", "__k", "__sure").join(met, "__row", "left").select("__k", both.alias("__starts")).where(F.size("__starts") > 0))
+    drop(own, blocks)
+    return out
 
 
 def _bounded(table: DataFrame, arrays: str) -> DataFrame:
@@ -193,33 +187,42 @@ def _bounded(table: DataFrame, arrays: str) -> DataFrame:
     return small(table, max(1, -(-(64 * rows + 4 * (values or 0)) // max(1, rows))))
 
 
+def runs(starts: np.ndarray) -> np.ndarray:
+    """Begin and end, in turn, of the word ranges that windows at the starts cover."""
+    p = np.unique(starts)
+    new = np.flatnonzero(np.diff(p) > L) + 1
+    return np.column_stack([p[np.concatenate([[0], new])], p[np.concatenate([new - 1, [len(p) - 1]])] + L]).ravel()
+
+
 def remove(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text of the kept words, joined by one space) of every row."""
-    starts = cut(repeated_windows(docs))
-    # Runs of starts that lie within a window of each other cover one range: keep the range.
-    run = F.aggregate(
-        F.array_sort("__starts"), F.array().cast("array<struct<a:int,b:int>>"),
-        lambda acc, p: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= p), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), (p + L).alias("b")))))
-        .otherwise(F.concat(acc, F.array(F.struct(p.alias("a"), (p + L).alias("b"))))),
-    )
-    ranges = cut(starts.select("__k", F.transform(run, lambda x: F.array(x["a"], x["b"])).alias("__runs")).select("__k", F.flatten("__runs").alias("__runs")))
+    marked = _with_copies(docs)
+    starts = repeated_windows(marked)
+
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"__k": batch["__k"], "__runs": [runs(np.asarray(p, np.int32)) for p in batch["__starts"].tolist()]})
+
+    ranges = cut(starts.mapInPandas(shorten, "__k long, __runs array<int>"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string"
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, runs in zip(batch["__text"].tolist(), batch["__runs"].tolist()):
+            for text, d, ranges_ in zip(batch["__text"].tolist(), batch["__d"].tolist(), batch["__runs"].tolist()):
                 words = split_words(text)
                 n = len(words)
-                if runs is not None and len(runs):
-                    for a, b in zip(reversed(runs[::2].tolist()), reversed(runs[1::2].tolist())):
+                if d and n >= L:
+                    words = []
+                elif ranges_ is not None and len(ranges_):
+                    for a, b in zip(reversed(ranges_[::2].tolist()), reversed(ranges_[1::2].tolist())):
                         del words[a:b]
                 out.append((n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
             frame = pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
             frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield frame
 
-    return _docs(docs).join(_bounded(ranges, "__runs"), "__k", "left").select("doc_id", "__text", "__runs").mapInPandas(keep, schema)
+    return marked.join(_bounded(ranges, "__runs"), "__k", "left").select("doc_id", "__text", "__d", "__runs").mapInPandas(keep, schema)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
