@@ -22,7 +22,8 @@ Verification.  Sets with equal hashes are one class.  In each bucket of equal
 keys every class is first compared with the bucket's smallest class; that links
 groups of near copies without forming their pairs.  Classes of one bucket that
 are then still in different components are compared in blocks of bounded size,
-first by parity bits, then by their sets.  So no link between components is
+by parity bits: first the closest pair of a class and another component is
+verified, then, between components still apart, every pair the bits allow.  So no link between components is
 lost, and pairs inside a known component are never formed.
 
 Edge cases: null text and text without words give the empty set, size 0, linked
@@ -155,7 +156,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _contents(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """__s, __set (sorted shingle hashes), __bits of the classes, from one text of each."""
+    """__s, __set (sorted shingle hashes), __size, __bits of the classes, from one text of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
@@ -163,26 +164,42 @@ def _contents(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int) -
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
                 found = [shingles(split_lower(t), known, n) for t in part["__text"].tolist()]
-                yield pd.DataFrame({"__s": part["__s"], "__set": [x.view(np.int64) for x in found], "__bits": [parity_bits(x).tobytes() for x in found]})
+                yield pd.DataFrame({"__s": part["__s"], "__set": [x.view(np.int64) for x in found], "__size": [len(x) for x in found], "__bits": [parity_bits(x).tobytes() for x in found]})
 
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__x"))
     wanted = cut(members.join(classes, "__s", "left_semi").groupBy("__s").agg(best.alias("__o")).select("__s", F.col("__o.doc_id").alias("__id"), F.col("__o.__x").alias("__ox")))
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("__x"), text_of().alias("__text"))
     texts = texts.join(small(wanted, 64), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__ox")))
-    return texts.select("__s", "__text").mapInPandas(run, "__s long, __set array<long>, __bits binary").dropDuplicates(["__s"])
+    return texts.select("__s", "__text").mapInPandas(run, "__s long, __set array<long>, __size long, __bits binary").dropDuplicates(["__s"])
+
+
+def _near(apart, x, y, percent: int):
+    """Whether sets of sizes x and y that differ in at least ``apart`` shingles can be linked."""
+    return (100 + percent) * apart <= (100 - percent) * (x + y)
 
 
 def _verify(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """The linked pairs (a, b) of candidate pairs."""
+    """The linked pairs (a, b) of candidate pairs: parity bits sort out most, sets decide the others."""
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c].tolist()), np.uint64).reshape(len(batch), -1) for c in ("__x", "__y"))
+                yield batch.loc[_near(np.bitwise_count(x ^ y).sum(1), batch["__m"].to_numpy(), batch["__n"].to_numpy(), percent), ["a", "b"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [_linked(x, y, percent) for x, y in zip(batch["__x"].tolist(), batch["__y"].tolist())]
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-    x = contents.select(F.col("__s").alias("a"), F.col("__set").alias("__x"))
-    y = contents.select(F.col("__s").alias("b"), F.col("__set").alias("__y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "__x", "__y").mapInPandas(run, "a long, b long")
+    def side(key: str, what: str, to: str, *more) -> DataFrame:
+        return contents.select(F.col("__s").alias(key), F.col(what).alias(to), *more)
+
+    size = F.col("__size")
+    sifted = pairs.join(side("a", "__bits", "__x", size.alias("__m")), "a").join(side("b", "__bits", "__y", size.alias("__n")), "b")
+    sifted = cut(sifted.select("a", "b", "__x", "__y", "__m", "__n").mapInPandas(sift, "a long, b long"))
+    out = sifted.join(side("a", "__set", "__x"), "a").join(side("b", "__set", "__y"), "b")
+    return out.select("a", "b", "__x", "__y").mapInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,45 +225,38 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("__s"), F.col("v").alias("__c")).unionAll(now.select("v", "v").distinct())
 
 
-def _second_round(rows: DataFrame, comps: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs between components among the classes of a bucket, in blocks."""
-    tagged = rows.join(comps, "__s", "left").select("__key", "__s", F.coalesce("__c", "__s").alias("__c"))
+def _apart(rows: DataFrame, comps: DataFrame, contents: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs of one bucket, but of different components, that the parity bits allow.
+
+    Of the pairs of a class with the members of another component, all if
+    ``every``, else the one with the fewest differing bits.  Buckets are compared
+    in pairs of blocks of about BLOCK classes.
+    """
+    tagged = rows.join(small(comps, 32), "__s", "left").select("__key", "__s", F.coalesce("__c", "__s").alias("__c"))
     same = (F.count("*").alias("__m"), F.bit_xor(F.xxhash64("__s")).alias("__f1"), F.sum(F.xxhash64("__s", F.lit(5)).cast("decimal(38,0)")).alias("__f2"))
     mixed = tagged.groupBy("__key").agg(*same, F.min("__c").alias("__lo"), F.max("__c").alias("__hi")).where("__m >= 3 and __lo <> __hi")
     # Near copies share many cells: of buckets with the same classes one is enough.
     mixed = mixed.groupBy("__m", "__f1", "__f2").agg(F.min("__key").alias("__key"))
     open_ = tagged.join(mixed.select("__key", "__m"), "__key")
-    blocks = F.ceil(F.col("__m") / BLOCK).cast("int")
-    open_ = open_.withColumn("__w", blocks).withColumn("__o", F.pmod(F.xxhash64("__s", F.lit(3)), F.col("__w")).cast("int"))
+    open_ = open_.withColumn("__w", F.ceil(F.col("__m") / BLOCK).cast("int")).withColumn("__o", F.pmod(F.xxhash64("__s", F.lit(3)), F.col("__w")).cast("int"))
     dealt = open_.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__w") - 1)))
     dealt = dealt.select("__key", F.least("__o", "__i").alias("__p"), F.greatest("__o", "__i").alias("__q"), "__o", "__s", "__c")
 
-    def compare(s, c, o, p, q, bits, own):
-        """Linked pairs of one group: block p against block q of a bucket."""
+    def compare(s, c, o, p, q, size, bits):
         found = []
-        sizes = np.array([len(x) for x in own])
-        root = {x: x for x in c.tolist()}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
         at = np.arange(len(s))
         for k in np.flatnonzero(o == p).tolist():
             rest = np.flatnonzero((o == q) & (c != c[k]) & ((p != q) | (at > k)))
-            small_, large = np.minimum(sizes[rest], sizes[k]), np.maximum(sizes[rest], sizes[k])
-            rest = rest[100 * small_ >= percent * large]
+            rest = rest[100 * np.minimum(size[rest], size[k]) >= percent * np.maximum(size[rest], size[k])]
             if not len(rest):
                 continue
-            apart = np.bitwise_count(np.stack([bits[j] for j in rest]) ^ bits[k]).sum(1)
-            rest = rest[(100 + percent) * apart <= (100 - percent) * (sizes[rest] + sizes[k])]
-            for j in rest.tolist():
-                x, y = find(int(c[k])), find(int(c[j]))
-                if x != y and _linked(own[k], own[j], percent):
-                    found.append((int(s[k]), int(s[j])))
-                    root[x] = y
+            apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1)
+            near = _near(apart, size[rest], size[k], percent)
+            rest, apart = rest[near], apart[near]
+            if not every and len(rest):
+                order = np.lexsort((apart, c[rest]))
+                rest = rest[order][np.unique(c[rest][order], return_index=True)[1]]
+            found += [(int(s[k]), int(s[j])) for j in rest]
         return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,11 +264,11 @@ def _second_round(rows: DataFrame, comps: DataFrame, contents: DataFrame, percen
             if len(frame):
                 ids = frame[["__key", "__p", "__q"]].to_numpy()
                 edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(frame)]
-                s, c, o = (frame[x].to_numpy() for x in ("__s", "__c", "__o"))
-                own, bits = frame["__set"].tolist(), [np.frombuffer(x, np.uint64) for x in frame["__bits"].tolist()]
+                s, c, o, size = (frame[x].to_numpy() for x in ("__s", "__c", "__o", "__size"))
+                bits = np.frombuffer(b"".join(frame["__bits"].tolist()), np.uint64).reshape(len(frame), -1)
                 for lo, hi in zip(edges, edges[1:]):
                     if hi - lo > 1:
-                        yield compare(s[lo:hi], c[lo:hi], o[lo:hi], ids[lo, 1], ids[lo, 2], bits[lo:hi], own[lo:hi])
+                        yield compare(s[lo:hi], c[lo:hi], o[lo:hi], ids[lo, 1], ids[lo, 2], size[lo:hi], bits[lo:hi])
 
         held = None
         for batch in batches:
@@ -273,7 +283,7 @@ def _second_round(rows: DataFrame, comps: DataFrame, contents: DataFrame, percen
         if found:
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    grouped = dealt.join(contents, "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
+    grouped = dealt.join(small(contents.select("__s", "__size", "__bits"), 640), "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
     return grouped.mapInPandas(run, "a long, b long").distinct()
 
 
@@ -294,9 +304,14 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     contents = cut(_contents(docs, involved, members, n))
     edges = cut(_verify(pairs, contents, percent))
     comps = cut(components(edges))
-    more = cut(_second_round(rows, comps, contents, percent))
-    if not more.isEmpty():
-        comps = cut(components(edges.unionAll(more)))
+    # Classes still apart: first the closest pair with each other component, then, where that did not link, every pair.
+    for every in (False, True):
+        more = cut(_apart(rows, comps, contents, percent, every))
+        more = cut(_verify(more, contents, percent)) if not more.isEmpty() else more
+        if not more.isEmpty():
+            edges = cut(edges.unionAll(more))
+            comps = cut(components(edges))
+    drop(rows, contents)
     labelled = members.join(small(comps, 32), "__s", "left").withColumn("__c", F.coalesce("__c", "__s"))
     smallest = cut(labelled.where("__c is not null").groupBy("__c").agg(F.min("doc_id").alias("__least"), F.count("*").alias("__size")).where("__size >= 2"))
     out = labelled.join(small(smallest, 48), "__c", "left")
