@@ -38,12 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and nothing reads any more, and let Spark delete idle shuffle files.
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete idle shuffle files.
 
     Spark's cleaner removes the files of a shuffle once the driver's JVM has
     collected its plan; a long job would else keep all of them until its end.
     """
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more, and idle shuffle files."""
     for df in tables:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
@@ -51,7 +56,7 @@ def drop(*tables: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(name).getParent()
             if path.getName().startswith("table-"):
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+        free_shuffles(spark)
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, read, small, text_of
+from .common import cut, drop, free_shuffles, read, small, text_of
 from .substring_dedup import Hashes, mix, windows
 
 #: Similarity in percent, and words a shingle.
@@ -295,9 +295,11 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     many = cut(members.where("__s is not null").groupBy("__s").agg(F.count("*").alias("__m"), F.min("doc_id").alias("__first")).where("__m >= 2"))
     speak = own.where("__s is not null").join(small(many, 48), "__s", "left").where(F.col("__m").isNull() | F.col("doc_id").eqNullSafe(F.col("__first")) | F.col("__first").isNull())
     keyed = speak.select("__s", F.explode("__keys").alias("__key"))
-    twice = keyed.groupBy("__key").agg(F.count("*").alias("__m")).where("__m >= 2").select("__key")
+    # A table, so that the shuffle of all keys is freed before the join makes its own.
+    twice = cut(keyed.groupBy("__key").agg(F.count("*").alias("__m")).where("__m >= 2").select("__key"))
+    free_shuffles(docs.sparkSession)
     rows = cut(keyed.join(twice, "__key", "left_semi").distinct())
-    drop(own)
+    drop(own, twice)
     hub = rows.groupBy("__key").agg(F.min("__s").alias("b"))
     pairs = cut(rows.join(hub, "__key").where("__s <> b").select(F.col("__s").alias("a"), "b").distinct())
     involved = cut(pairs.select(F.col("a").alias("__s")).unionAll(pairs.select("b")).distinct())
