@@ -48,12 +48,12 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and nothing reads any more, and idle shuffle files."""
+    """Delete tables that ``cut`` wrote (or unions of such) and nothing reads any more, and idle shuffle files."""
     for df in tables:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
-        for name in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(name).getParent()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
             if path.getName().startswith("table-"):
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         free_shuffles(spark)

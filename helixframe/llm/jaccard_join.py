@@ -48,6 +48,9 @@ PERCENT, N = 85, 4
 RATIO = 1.25
 #: Classes in a block of a bucket's second round.
 BLOCK = 256
+#: The keys are matched in slices of their hash, so that only one slice's shuffle is on disk at a time.
+SLICES = 4
+SLICE_BITS = SLICES.bit_length() - 1
 
 
 class Bands:
@@ -100,21 +103,61 @@ def sketch(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:
-    """4,096 parity bits; every shingle flips one."""
-    bits = np.zeros(64, np.uint64)
+    """Parity bits, two to four for each shingle (256 at least, a power of two); every shingle flips one."""
+    words = 1 << max(2, (2 * len(s) - 1).bit_length() - 6)
+    bits = np.zeros(words, np.uint64)
     r = mix(s + np.uint64(99))
-    np.bitwise_xor.at(bits, (r >> np.uint64(6)) % np.uint64(64), np.uint64(1) << (r & np.uint64(63)))
+    np.bitwise_xor.at(bits, (r >> np.uint64(6)) % np.uint64(words), np.uint64(1) << (r & np.uint64(63)))
     return bits
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parity bits at a shorter length: the XOR of both halves is the sketch of half the length."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+class Folded:
+    """The parity bits of several sets, of different lengths, folded on demand."""
+
+    def __init__(self, bits: list[bytes]):
+        self.words = np.array([len(b) // 8 for b in bits], np.int64)
+        self.rank = np.zeros(len(bits), np.int64)
+        self.at: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == w)
+            self.rank[own] = np.arange(len(own))
+            self.at[w, w] = np.frombuffer(b"".join([bits[i] for i in own]), np.uint64).reshape(len(own), w)
+
+    def rows(self, which: np.ndarray, words: int, to: int) -> np.ndarray:
+        """Sets ``which``, all of length ``words``, folded ``to`` another."""
+        if (words, to) not in self.at:
+            self.at[words, to] = fold(self.at[words, words], to)
+        return self.at[words, to][self.rank[which]]
+
+
+def apart(x: Folded, i: np.ndarray, y: Folded, j: np.ndarray) -> np.ndarray:
+    """Differing parity bits of sets x[i] and y[j], at the shorter length of each two."""
+    out = np.zeros(len(i), np.int64)
+    p, q = x.words[i], y.words[j]
+    for u, v in {*zip(p.tolist(), q.tolist())}:
+        at = np.flatnonzero((p == u) & (q == v))
+        to = min(u, v)
+        out[at] = np.bitwise_count(x.rows(i[at], u, to) ^ y.rows(j[at], v, to)).sum(1)
+    return out
+
+
 def split_lower(text: str) -> list[bytes]:
     """Words with A-Z lower-cased: bytes.lower() and bytes.split() are ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def sets(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """doc_id, __n (set size), __s (64-bit hash of the set, null if empty), __keys (join keys of its cells)."""
+    """doc_id, __n (set size), __s (64-bit hash of the set, null if empty), __bits (parity bits), __k0, __k1, ... (join keys of its cells, by slice)."""
     bands = Bands(percent)
+    slices = [f"__k{i}" for i in range(SLICES)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
@@ -125,7 +168,7 @@ def sets(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
                 for text in part["__text"].tolist():
                     s = shingles(split_lower(text), known, n)
                     if not len(s):
-                        rows.append((0, None, []))
+                        rows.append((0, None, None, *[[]] * SLICES))
                         continue
                     keys = []
                     for b in bands.of(len(s)):
@@ -136,14 +179,16 @@ def sets(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
                         # Weak cells are keys of their own: only documents with too many of them send any.
                         mark = np.arange(m, dtype=np.uint64)[send] * np.uint64(4) + np.uint64(b) * np.uint64(1 << 40) + weak[send]
                         keys.append(mix(cells[send] + mix(mark)))
-                    rows.append((len(s), int(mix(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(7))) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]), np.concatenate(keys).view(np.int64)))
-                out = pd.DataFrame(rows, columns=["__n", "__s", "__keys"])
+                    keys = np.concatenate(keys)
+                    at = keys >> np.uint64(64 - SLICE_BITS)
+                    rows.append((len(s), int(mix(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(7))) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]), parity_bits(s).tobytes(), *[keys[at == i].view(np.int64) for i in range(SLICES)]))
+                out = pd.DataFrame(rows, columns=["__n", "__s", "__bits", *slices])
                 out["__s"] = out["__s"].astype("Int64")
                 out.insert(0, "__x", part["__x"].to_numpy())
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield out
 
-    return docs.select("doc_id", F.xxhash64(text_of()).alias("__x"), text_of().alias("__text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __x long, __n long, __s long, __keys array<long>")
+    return docs.select("doc_id", F.xxhash64(text_of()).alias("__x"), text_of().alias("__text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __x long, __n long, __s long, __bits binary, " + ", ".join(f"{c} array<long>" for c in slices))
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -156,21 +201,28 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _contents(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """__s, __set (sorted shingle hashes), __size, __bits of the classes, from one text of each."""
+    """__s, __set (sorted shingle hashes) of the classes, from one text of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
-                found = [shingles(split_lower(t), known, n) for t in part["__text"].tolist()]
-                yield pd.DataFrame({"__s": part["__s"], "__set": [x.view(np.int64) for x in found], "__size": [len(x) for x in found], "__bits": [parity_bits(x).tobytes() for x in found]})
+                yield pd.DataFrame({"__s": part["__s"], "__set": [shingles(split_lower(t), known, n).view(np.int64) for t in part["__text"].tolist()]})
 
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__x"))
-    wanted = cut(members.join(classes, "__s", "left_semi").groupBy("__s").agg(best.alias("__o")).select("__s", F.col("__o.doc_id").alias("__id"), F.col("__o.__x").alias("__ox")))
+    own = members.join(small(classes, 32), "__s", "left_semi").groupBy("__s", "doc_id", "__x").agg(F.count("*").alias("__m"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__x", "__m"))
+    wanted = cut(own.groupBy("__s").agg(best.alias("__o")).select("__s", F.col("__o.doc_id").alias("__id"), F.col("__o.__x").alias("__ox"), F.col("__o.__m").alias("__m")))
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("__x"), text_of().alias("__text"))
-    texts = texts.join(small(wanted, 64), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__ox")))
-    return texts.select("__s", "__text").mapInPandas(run, "__s long, __set array<long>, __size long, __bits binary").dropDuplicates(["__s"])
+
+    def read_of(rows: DataFrame) -> DataFrame:
+        return texts.join(small(rows, 64), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__ox"))).select("__s", "__text")
+
+    out = read_of(wanted.where("__m = 1"))
+    again = wanted.where("__m > 1")
+    if not again.isEmpty():  # rows that repeat doc_id and text
+        out = out.unionAll(read_of(again).dropDuplicates(["__s"]))
+    return out.mapInPandas(run, "__s long, __set array<long>")
 
 
 def _near(apart, x, y, percent: int):
@@ -178,28 +230,34 @@ def _near(apart, x, y, percent: int):
     return (100 + percent) * apart <= (100 - percent) * (x + y)
 
 
-def _verify(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """The linked pairs (a, b) of candidate pairs: parity bits sort out most, sets decide the others."""
+def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, members: DataFrame, percent: int, n: int) -> DataFrame:
+    """The linked pairs (a, b) of candidate pairs: parity bits sort out most, the sets of the others decide."""
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x, y = (np.frombuffer(b"".join(batch[c].tolist()), np.uint64).reshape(len(batch), -1) for c in ("__x", "__y"))
-                yield batch.loc[_near(np.bitwise_count(x ^ y).sum(1), batch["__m"].to_numpy(), batch["__n"].to_numpy(), percent), ["a", "b"]]
+                at = np.arange(len(batch))
+                far = apart(Folded(batch["__x"].tolist()), at, Folded(batch["__y"].tolist()), at)
+                yield batch.loc[_near(far, batch["__m"].to_numpy(), batch["__n"].to_numpy(), percent), ["a", "b"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [_linked(x, y, percent) for x, y in zip(batch["__x"].tolist(), batch["__y"].tolist())]
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-    def side(key: str, what: str, to: str, *more) -> DataFrame:
-        return contents.select(F.col("__s").alias(key), F.col(what).alias(to), *more)
+    def side(table: DataFrame, key: str, what: str, to: str, *more) -> DataFrame:
+        return table.select(F.col("__s").alias(key), F.col(what).alias(to), *more)
 
     size = F.col("__size")
-    sifted = pairs.join(side("a", "__bits", "__x", size.alias("__m")), "a").join(side("b", "__bits", "__y", size.alias("__n")), "b")
+    sifted = pairs.join(side(sketches, "a", "__bits", "__x", size.alias("__m")), "a").join(side(sketches, "b", "__bits", "__y", size.alias("__n")), "b")
     sifted = cut(sifted.select("a", "b", "__x", "__y", "__m", "__n").mapInPandas(sift, "a long, b long"))
-    out = sifted.join(side("a", "__set", "__x"), "a").join(side("b", "__set", "__y"), "b")
-    return out.select("a", "b", "__x", "__y").mapInPandas(run, "a long, b long")
+    free_shuffles(docs.sparkSession)
+    classes = cut(sifted.select(F.col("a").alias("__s")).unionAll(sifted.select("b")).distinct())
+    contents = cut(_contents(docs, classes, members, n))
+    out = sifted.join(side(contents, "a", "__set", "__x"), "a").join(side(contents, "b", "__set", "__y"), "b")
+    out = cut(out.select("a", "b", "__x", "__y").mapInPandas(run, "a long, b long"))
+    drop(sifted, classes, contents)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,7 +283,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("__s"), F.col("v").alias("__c")).unionAll(now.select("v", "v").distinct())
 
 
-def _apart(rows: DataFrame, comps: DataFrame, contents: DataFrame, percent: int, every: bool) -> DataFrame:
+def _apart(rows: DataFrame, comps: DataFrame, sketches: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of one bucket, but of different components, that the parity bits allow.
 
     Of the pairs of a class with the members of another component, all if
@@ -250,11 +308,11 @@ def _apart(rows: DataFrame, comps: DataFrame, contents: DataFrame, percent: int,
             rest = rest[100 * np.minimum(size[rest], size[k]) >= percent * np.maximum(size[rest], size[k])]
             if not len(rest):
                 continue
-            apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1)
-            near = _near(apart, size[rest], size[k], percent)
-            rest, apart = rest[near], apart[near]
+            far = apart(bits, np.full(len(rest), k), bits, rest)
+            near = _near(far, size[rest], size[k], percent)
+            rest, far = rest[near], far[near]
             if not every and len(rest):
-                order = np.lexsort((apart, c[rest]))
+                order = np.lexsort((far, c[rest]))
                 rest = rest[order][np.unique(c[rest][order], return_index=True)[1]]
             found += [(int(s[k]), int(s[j])) for j in rest]
         return found
@@ -265,10 +323,10 @@ def _apart(rows: DataFrame, comps: DataFrame, contents: DataFrame, percent: int,
                 ids = frame[["__key", "__p", "__q"]].to_numpy()
                 edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(frame)]
                 s, c, o, size = (frame[x].to_numpy() for x in ("__s", "__c", "__o", "__size"))
-                bits = np.frombuffer(b"".join(frame["__bits"].tolist()), np.uint64).reshape(len(frame), -1)
+                bits = frame["__bits"].tolist()
                 for lo, hi in zip(edges, edges[1:]):
                     if hi - lo > 1:
-                        yield compare(s[lo:hi], c[lo:hi], o[lo:hi], ids[lo, 1], ids[lo, 2], size[lo:hi], bits[lo:hi])
+                        yield compare(s[lo:hi], c[lo:hi], o[lo:hi], ids[lo, 1], ids[lo, 2], size[lo:hi], Folded(bits[lo:hi]))
 
         held = None
         for batch in batches:
@@ -283,37 +341,45 @@ def _apart(rows: DataFrame, comps: DataFrame, contents: DataFrame, percent: int,
         if found:
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    grouped = dealt.join(small(contents.select("__s", "__size", "__bits"), 640), "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
+    grouped = dealt.join(sketches, "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
     return grouped.mapInPandas(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """doc_id, n_shingles, __s, component_id of every row of ``docs``."""
     own = cut(sets(docs, percent, n))
-    members = cut(own.select("doc_id", "__x", "__n", "__s"))
+    members = cut(own.select("doc_id", "__x", "__n", "__s", "__bits"))
     # One document speaks for its class: the copies' keys are left out where their class is known to be repeated.
     many = cut(members.where("__s is not null").groupBy("__s").agg(F.count("*").alias("__m"), F.min("doc_id").alias("__first")).where("__m >= 2"))
     speak = own.where("__s is not null").join(small(many, 48), "__s", "left").where(F.col("__m").isNull() | F.col("doc_id").eqNullSafe(F.col("__first")) | F.col("__first").isNull())
-    keyed = speak.select("__s", F.explode("__keys").alias("__key"))
-    # A table, so that the shuffle of all keys is freed before the join makes its own.
-    twice = cut(keyed.groupBy("__key").agg(F.count("*").alias("__m")).where("__m >= 2").select("__key"))
-    free_shuffles(docs.sparkSession)
-    rows = cut(keyed.join(twice, "__key", "left_semi").distinct())
-    drop(own, twice)
+    found = None
+    for i in range(SLICES):
+        keyed = speak.select("__s", F.explode(f"__k{i}").alias("__key"))
+        # A table, so that the shuffle of the slice's keys is freed before the join makes its own.
+        twice = cut(keyed.groupBy("__key").agg(F.count("*").alias("__m")).where("__m >= 2").select("__key"))
+        free_shuffles(docs.sparkSession)
+        part = cut(keyed.join(twice, "__key", "left_semi").distinct())
+        drop(twice)
+        found = part if found is None else found.unionAll(part)
+    drop(own)
+    rows = found
     hub = rows.groupBy("__key").agg(F.min("__s").alias("b"))
     pairs = cut(rows.join(hub, "__key").where("__s <> b").select(F.col("__s").alias("a"), "b").distinct())
     involved = cut(pairs.select(F.col("a").alias("__s")).unionAll(pairs.select("b")).distinct())
-    contents = cut(_contents(docs, involved, members, n))
-    edges = cut(_verify(pairs, contents, percent))
+    free_shuffles(docs.sparkSession)
+    sketches = cut(members.join(small(involved, 32), "__s", "left_semi").select("__s", F.col("__n").alias("__size"), "__bits").dropDuplicates(["__s"]))
+    edges = _verify(pairs, sketches, docs, members, percent, n)
+    drop(pairs, involved)
     comps = cut(components(edges))
     # Classes still apart: first the closest pair with each other component, then, where that did not link, every pair.
     for every in (False, True):
-        more = cut(_apart(rows, comps, contents, percent, every))
-        more = cut(_verify(more, contents, percent)) if not more.isEmpty() else more
+        more = cut(_apart(rows, comps, sketches, percent, every))
+        free_shuffles(docs.sparkSession)
+        more = _verify(more, sketches, docs, members, percent, n) if not more.isEmpty() else more
         if not more.isEmpty():
             edges = cut(edges.unionAll(more))
             comps = cut(components(edges))
-    drop(rows, contents)
+    drop(rows, sketches)
     labelled = members.join(small(comps, 32), "__s", "left").withColumn("__c", F.coalesce("__c", "__s"))
     smallest = cut(labelled.where("__c is not null").groupBy("__c").agg(F.min("doc_id").alias("__least"), F.count("*").alias("__size")).where("__size >= 2"))
     out = labelled.join(small(smallest, 48), "__c", "left")
