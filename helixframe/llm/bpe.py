@@ -24,6 +24,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -230,12 +231,14 @@ def transcode(docs: DataFrame, shared, ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _here(shared)
         for batch in batches:
-            packed = [codec.encode(t or "") for t in batch["text"].tolist()]
-            out = batch[names].copy()
-            out["text"] = [None if t is None else codec.decode(p).decode("utf-8", "surrogatepass") for t, p in zip(batch["text"].tolist(), packed)]
-            if ids:
-                out["token_ids"] = [list(memoryview(p).cast("I")) for p in packed]
-            yield out
+            for lo in range(0, len(batch), 200):  # the ids of a whole batch would take several times its texts
+                out = batch.iloc[lo : lo + 200][names].copy()
+                texts = out["text"].tolist()
+                packed = [codec.encode(t or "") for t in texts]
+                out["text"] = [None if t is None else codec.decode(p).decode("utf-8", "surrogatepass") for t, p in zip(texts, packed)]
+                if ids:
+                    out["token_ids"] = pd.Series([np.frombuffer(p, "<u4").astype(np.int32) for p in packed], index=out.index, dtype=object)
+                yield out
 
     return docs.mapInPandas(run, fields)
 
