@@ -34,6 +34,7 @@ documents with a null doc_id take part and have the component of the others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,8 +104,8 @@ def sketch(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:
-    """Parity bits, two to four for each shingle (256 at least, a power of two); every shingle flips one."""
-    words = 1 << max(2, (2 * len(s) - 1).bit_length() - 6)
+    """Parity bits, one to two for each shingle (256 at least, a power of two); every shingle flips one."""
+    words = 1 << max(2, (len(s) - 1).bit_length() - 6)
     bits = np.zeros(words, np.uint64)
     r = mix(s + np.uint64(99))
     np.bitwise_xor.at(bits, (r >> np.uint64(6)) % np.uint64(words), np.uint64(1) << (r & np.uint64(63)))
@@ -142,8 +143,9 @@ def apart(x: Folded, i: np.ndarray, y: Folded, j: np.ndarray) -> np.ndarray:
     """Differing parity bits of sets x[i] and y[j], at the shorter length of each two."""
     out = np.zeros(len(i), np.int64)
     p, q = x.words[i], y.words[j]
-    for u, v in {*zip(p.tolist(), q.tolist())}:
-        at = np.flatnonzero((p == u) & (q == v))
+    both = p << 32 | q
+    for uv in np.unique(both).tolist():
+        at, u, v = np.flatnonzero(both == uv), uv >> 32, uv & 0xFFFFFFFF
         to = min(u, v)
         out[at] = np.bitwise_count(x.rows(i[at], u, to) ^ y.rows(j[at], v, to)).sum(1)
     return out
@@ -283,66 +285,74 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("__s"), F.col("v").alias("__c")).unionAll(now.select("v", "v").distinct())
 
 
-def _apart(rows: DataFrame, comps: DataFrame, sketches: DataFrame, percent: int, every: bool) -> DataFrame:
+def _apart(rows: list[DataFrame], comps: DataFrame, sketches: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of one bucket, but of different components, that the parity bits allow.
 
     Of the pairs of a class with the members of another component, all if
     ``every``, else the one with the fewest differing bits.  Buckets are compared
     in pairs of blocks of about BLOCK classes.
     """
-    tagged = rows.join(small(comps, 32), "__s", "left").select("__key", "__s", F.coalesce("__c", "__s").alias("__c"))
+    tagged = [part.join(small(comps, 32), "__s", "left").select("__key", "__s", F.coalesce("__c", "__s").alias("__c")) for part in rows]
     same = (F.count("*").alias("__m"), F.bit_xor(F.xxhash64("__s")).alias("__f1"), F.sum(F.xxhash64("__s", F.lit(5)).cast("decimal(38,0)")).alias("__f2"))
-    mixed = tagged.groupBy("__key").agg(*same, F.min("__c").alias("__lo"), F.max("__c").alias("__hi")).where("__m >= 3 and __lo <> __hi")
+    mixed = None
+    for part in tagged:
+        own = part.groupBy("__key").agg(*same, F.min("__c").alias("__lo"), F.max("__c").alias("__hi")).where("__m >= 3 and __lo <> __hi")
+        mixed = own if mixed is None else mixed.unionAll(own)
     # Near copies share many cells: of buckets with the same classes one is enough.
-    mixed = mixed.groupBy("__m", "__f1", "__f2").agg(F.min("__key").alias("__key"))
-    open_ = tagged.join(mixed.select("__key", "__m"), "__key")
-    open_ = open_.withColumn("__w", F.ceil(F.col("__m") / BLOCK).cast("int")).withColumn("__o", F.pmod(F.xxhash64("__s", F.lit(3)), F.col("__w")).cast("int"))
-    dealt = open_.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__w") - 1)))
-    dealt = dealt.select("__key", F.least("__o", "__i").alias("__p"), F.greatest("__o", "__i").alias("__q"), "__o", "__s", "__c")
-
-    def compare(s, c, o, p, q, size, bits):
+    mixed = cut(mixed.groupBy("__m", "__f1", "__f2").agg(F.min("__key").alias("__key")).select("__key", "__m"))
+    free_shuffles(sketches.sparkSession)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        s, c, o, p, q, size = (frame[x].to_numpy() for x in ("__s", "__c", "__o", "__p", "__q", "__size"))
+        ids = frame[["__key", "__p", "__q"]].to_numpy()
+        group = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]).any(1))])
+        bits = Folded(frame["__bits"].tolist())
         found = []
-        at = np.arange(len(s))
-        for k in np.flatnonzero(o == p).tolist():
-            rest = np.flatnonzero((o == q) & (c != c[k]) & ((p != q) | (at > k)))
-            rest = rest[100 * np.minimum(size[rest], size[k]) >= percent * np.maximum(size[rest], size[k])]
-            if not len(rest):
-                continue
-            far = apart(bits, np.full(len(rest), k), bits, rest)
-            near = _near(far, size[rest], size[k], percent)
-            rest, far = rest[near], far[near]
-            if not every and len(rest):
-                order = np.lexsort((far, c[rest]))
-                rest = rest[order][np.unique(c[rest][order], return_index=True)[1]]
-            found += [(int(s[k]), int(s[j])) for j in rest]
-        return found
+        for d in range(1, len(s)):  # rows at distance d of one group
+            k = np.flatnonzero(group[d:] == group[:-d])
+            if not len(k):
+                break
+            k = k[(c[k] != c[k + d]) & ((p[k] == q[k]) | (o[k] != o[k + d]))]
+            k = k[100 * np.minimum(size[k], size[k + d]) >= percent * np.maximum(size[k], size[k + d])]
+            j = k + d
+            far = apart(bits, k, bits, j)
+            near = _near(far, size[k], size[j], percent)
+            k, j, far = k[near], j[near], far[near]
+            turn = (p[k] != q[k]) & (o[k] != p[k])  # the first of a pair is of block p
+            found.append(np.stack([np.where(turn, j, k), np.where(turn, k, j), far]))
+        k, j, far = np.concatenate([np.empty((3, 0), np.int64), *found], axis=1)
+        if not every and len(k):
+            order = np.lexsort((j, far, c[j], k))
+            k, j = k[order], j[order]
+            first = np.concatenate([[True], (k[1:] != k[:-1]) | (c[j][1:] != c[j][:-1])])
+            k, j = k[first], j[first]
+        return pd.DataFrame({"a": s[k], "b": s[j]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def groups(frame: pd.DataFrame) -> Iterator[list[tuple[int, int]]]:
-            if len(frame):
-                ids = frame[["__key", "__p", "__q"]].to_numpy()
-                edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(frame)]
-                s, c, o, size = (frame[x].to_numpy() for x in ("__s", "__c", "__o", "__size"))
-                bits = frame["__bits"].tolist()
-                for lo, hi in zip(edges, edges[1:]):
-                    if hi - lo > 1:
-                        yield compare(s[lo:hi], c[lo:hi], o[lo:hi], ids[lo, 1], ids[lo, 2], size[lo:hi], Folded(bits[lo:hi]))
-
         held = None
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            ids = batch[["__key", "__p", "__q"]].to_numpy()
-            last = int(np.flatnonzero((ids != ids[-1]).any(1)).max(initial=-1)) + 1
-            held = batch.iloc[last:]
-            found = [x for g in groups(batch.iloc[:last]) for x in g]
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
-        found = [] if held is None else [x for g in groups(held) for x in g]
-        if found:
-            yield pd.DataFrame(found, columns=["a", "b"])
-
-    grouped = dealt.join(sketches, "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
-    return grouped.mapInPandas(run, "a long, b long").distinct()
+            if len(batch):
+                ids = batch[["__key", "__p", "__q"]].to_numpy()
+                last = int(np.flatnonzero((ids != ids[-1]).any(1)).max(initial=-1)) + 1
+                held = batch.iloc[last:]
+                if last:
+                    yield compare(batch.iloc[:last])
+        if held is not None and len(held):
+            yield compare(held)
+
+    out = None
+    for part in tagged:
+        open_ = part.join(mixed, "__key")
+        open_ = open_.withColumn("__w", F.ceil(F.col("__m") / BLOCK).cast("int")).withColumn("__o", F.pmod(F.xxhash64("__s", F.lit(3)), F.col("__w")).cast("int"))
+        dealt = open_.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__w") - 1)))
+        dealt = dealt.select("__key", F.least("__o", "__i").alias("__p"), F.greatest("__o", "__i").alias("__q"), "__o", "__s", "__c")
+        grouped = dealt.join(sketches, "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
+        found = cut(grouped.mapInPandas(run, "a long, b long").distinct())
+        free_shuffles(sketches.sparkSession)
+        out = found if out is None else out.unionAll(found)
+    drop(mixed)
+    return out.distinct()
 
 
 def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
@@ -352,17 +362,16 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     # One document speaks for its class: the copies' keys are left out where their class is known to be repeated.
     many = cut(members.where("__s is not null").groupBy("__s").agg(F.count("*").alias("__m"), F.min("doc_id").alias("__first")).where("__m >= 2"))
     speak = own.where("__s is not null").join(small(many, 48), "__s", "left").where(F.col("__m").isNull() | F.col("doc_id").eqNullSafe(F.col("__first")) | F.col("__first").isNull())
-    found = None
+    parts = []
     for i in range(SLICES):
         keyed = speak.select("__s", F.explode(f"__k{i}").alias("__key"))
         # A table, so that the shuffle of the slice's keys is freed before the join makes its own.
         twice = cut(keyed.groupBy("__key").agg(F.count("*").alias("__m")).where("__m >= 2").select("__key"))
         free_shuffles(docs.sparkSession)
-        part = cut(keyed.join(twice, "__key", "left_semi").distinct())
+        parts.append(cut(keyed.join(twice, "__key", "left_semi").distinct()))
         drop(twice)
-        found = part if found is None else found.unionAll(part)
     drop(own)
-    rows = found
+    rows = reduce(DataFrame.unionAll, parts)
     hub = rows.groupBy("__key").agg(F.min("__s").alias("b"))
     pairs = cut(rows.join(hub, "__key").where("__s <> b").select(F.col("__s").alias("a"), "b").distinct())
     involved = cut(pairs.select(F.col("a").alias("__s")).unionAll(pairs.select("b")).distinct())
@@ -373,7 +382,7 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     comps = cut(components(edges))
     # Classes still apart: first the closest pair with each other component, then, where that did not link, every pair.
     for every in (False, True):
-        more = cut(_apart(rows, comps, sketches, percent, every))
+        more = cut(_apart(parts, comps, sketches, percent, every))
         free_shuffles(docs.sparkSession)
         more = _verify(more, sketches, docs, members, percent, n) if not more.isEmpty() else more
         if not more.isEmpty():
