@@ -356,7 +356,7 @@ def _apart(rows: list[DataFrame], comps: DataFrame, sketches: DataFrame, percent
 
 
 def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, __s, component_id of every row of ``docs``."""
+    """doc_id, n_shingles, component_id of every row of ``docs``; __x (hash of its text), __class (its component, null without words), __size (the component's rows, null if one)."""
     own = cut(sets(docs, percent, n))
     members = cut(own.select("doc_id", "__x", "__n", "__s", "__bits"))
     # One document speaks for its class: the copies' keys are left out where their class is known to be repeated.
@@ -392,26 +392,34 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     labelled = members.join(small(comps, 32), "__s", "left").withColumn("__c", F.coalesce("__c", "__s"))
     smallest = cut(labelled.where("__c is not null").groupBy("__c").agg(F.min("doc_id").alias("__least"), F.count("*").alias("__size")).where("__size >= 2"))
     out = labelled.join(small(smallest, 48), "__c", "left")
-    return out.select("doc_id", F.col("__n").alias("n_shingles"), F.col("__c").alias("__class"), F.coalesce("__least", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("__n").alias("n_shingles"), F.col("__c").alias("__class"), F.coalesce("__least", "doc_id").alias("component_id"), "__x", "__size")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """The rows of ``docs`` that stay, one for each component, all columns kept: the row of the smallest doc_id.
 
-    Rows are dropped where they are read, so texts are not shuffled.  Documents
-    without words stay.
+    A null doc_id comes last; rows of one doc_id are told apart by the hash of
+    their text.  Rows are dropped where they are read, so texts are not shuffled.
+    Documents without words stay.
     """
-    linked = cut(link(docs, percent, n))
-    gone = cut(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__g")).distinct())
-    out = docs.join(small(gone, 32), F.col("doc_id").eqNullSafe(F.col("__g")), "left_anti")
-    again = cut(linked.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("__class").isNotNull()).groupBy(F.col("doc_id").alias("__a")).agg(F.count("*").alias("__m")).where("__m >= 2"))
+    linked = cut(link(docs, percent, n).select("doc_id", "__x", "__class", "__size"))
+    groups = linked.where("__size >= 2")
+    best = cut(groups.groupBy("__class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__x").alias("x"))).alias("__b")))
+    stays = F.col("doc_id").eqNullSafe(F.col("__b.id")) & (F.col("__x") == F.col("__b.x"))
+    marked = groups.join(small(best, 48), "__class").groupBy(F.col("doc_id").alias("__g"), F.col("__x").alias("__gx"), stays.alias("__stays")).agg(F.count("*").alias("__m"))
+    marked = cut(marked.where("not __stays or __m >= 2"))
+    gone, again = marked.where("not __stays").select("__g", "__gx"), marked.where("__stays").select("__g", "__gx")
+    own = docs.withColumn("__x", F.xxhash64(text_of()))
+    same = F.col("doc_id").eqNullSafe(F.col("__g")) & (F.col("__x") == F.col("__gx"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = own.join(small(gone, 48), same, "left_anti")
     if again.isEmpty():
-        return out
-    # Rows that repeat the doc_id that stays: one of them, chosen by content.
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    held = out.join(small(again, 32), F.col("doc_id").eqNullSafe(F.col("__a"))).where(F.length(F.trim(text_of())) > 0)
-    one = held.groupBy("__a").agg(F.min_by(row, F.xxhash64("text")).alias("__r")).select([F.col(f"__r.`{c}`").alias(c) for c in docs.columns])
-    rest = out.join(small(again, 32), F.col("doc_id").eqNullSafe(F.col("__a")), "left_anti")
+        return out.select(names)
+    # Rows that repeat the doc_id and the text that stay: one of them, chosen by content.
+    row = F.struct(*names)
+    held = own.join(small(again, 48), same, "left_semi")
+    one = held.groupBy(F.col("doc_id").alias("__a"), F.col("__x").alias("__ax")).agg(F.min_by(row, F.xxhash64(*names)).alias("__r")).select([F.col(f"__r.`{c}`").alias(c) for c in docs.columns])
+    rest = out.join(small(again, 48), same, "left_anti").select(names)
     return rest.unionByName(one)
 
 

@@ -244,6 +244,22 @@ def test_jaccard_join(docs, texts, odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 1
 
 
+def test_near_dedup_tells_rows_apart(spark):
+    """Null and repeated doc_ids: only linked rows go, one row of each component stays."""
+    say = lambda k, m=30: " ".join(f"{k}{i}" for i in range(m))
+    rows = [
+        (3, say("a"), "stays"), (7, say("a") + " z", "copy of 3"), (7, say("b"), "stays"), (None, say("a") + " y", "copy of 3"),
+        (None, say("c"), "stays"), (None, say("d"), "stays"), (8, say("e"), "stays"), (8, say("f"), "stays"),
+        (9, say("g"), "twice"), (9, say("g"), "twice"), (9, " ", "stays"), (9, None, "stays"), (None, "", "stays"),
+        (None, say("h"), "either"), (None, say("h") + " z", "either"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(4)
+    kept = [tuple(r) for r in jaccard_join.near_dedup(df).collect()]
+    want = [r for r in rows if r[2] == "stays"]
+    assert sorted((r for r in kept if r[2] == "stays"), key=repr) == sorted(want, key=repr)
+    assert sorted(r[2] for r in kept if r[2] != "stays") == ["either", "twice"]
+
+
 def test_jaccard_join_finds_pairs_at_the_bound():
     """Every pair of linked random sets shares a join key."""
     import numpy as np
