@@ -81,11 +81,12 @@ def held_out():
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, conflict) -> list[tuple[str, int]]:
     """At most ``per_class`` training rows of each label, as (text, label), on the driver.
 
-    Only rows outside the held-out fold count.  The rows are those whose doc_id
+    Only rows outside the held-out fold, of a doc_id that ``docs`` has, count.  The rows are those whose doc_id
     hashes lowest, so the sample depends neither on order nor on partitions.  A
     doc_id with several labels gets ``conflict`` (an aggregate) of them.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(conflict(label).alias("__y")).where(~held_out())
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     picked = None
     for y in (0, 1):
         part = known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)

@@ -91,6 +91,16 @@ def test_toxic_offsets(spark):
     assert [(s["start"], s["end"]) for s in row["spans"]] == [(15, 20)] and row["score"] > 0.5
 
 
+def test_sample_takes_labels_of_the_docs_at_hand(spark):
+    """The full labels table with a few docs: the labelled rows of these docs are found."""
+    from helixframe.llm.common import labelled_sample
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    some = spark.createDataFrame([(i, f"text {i}") for i in range(300, 330)], "doc_id long, text string")
+    got = labelled_sample(some, labels, "toxic", 5, F.max)
+    assert sorted(y for _, y in got) == [0] * 5 + [1] * 5
+
+
 def test_models_without_labels(odd, empty):
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.0}
     assert {r["score"] for r in quality.score(odd, None).collect()} == {0.5}
