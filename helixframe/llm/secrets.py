@@ -5,7 +5,10 @@ identifiers, are trained from labelled samples; a candidate string is a secret
 if its mean log-likelihood ratio per character exceeds a threshold that the same
 samples give.  Candidates are runs of at least 20 characters of
 ``[A-Za-z0-9+/_=-]`` with a letter and a digit, or with both cases after the
-first letter, that touch no span of a fixed rule.
+first letter; what a span of a fixed rule covers is cut out of a run first.
+Where a whole run is no secret, its sub-runs from separator to separator are
+candidates too: the one whose ratios exceed the threshold by the largest sum
+is a secret, then the best ones on both sides of it.
 
 Offsets are code points of the whole text, end exclusive.  Null text is empty.
 Spans of one start are ordered as the kinds are listed.
@@ -34,6 +37,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _WORD = re.compile(r"[A-Za-z]{3,}")
+#: A part of a run between separators, with the padding that ends a key.
+_PART = re.compile(r"[A-Za-z0-9]+(?:={1,2}(?![A-Za-z0-9=]))?")
+LEAST = 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -60,19 +66,65 @@ class Model:
         codes = np.frombuffer(text.encode("ascii"), np.uint8)
         return float(self.ratio[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
+    def inner(self, s: str) -> list[tuple[int, int]]:
+        """Sub-runs of a run, from separator to separator, that are secrets; in no order."""
+        parts = [m.span() for m in _PART.finditer(s)]
+        if not parts:
+            return []
+        starts, ends = np.array(parts, np.int64).T
+        codes = np.frombuffer(s.encode("ascii"), np.uint8)
+        total = np.concatenate([[0.0], np.cumsum(self.ratio[codes[:-1], codes[1:]] - self.threshold)])
+        out, todo = [], [(0, len(starts))]
+        while todo:
+            lo, hi = todo.pop()
+            if hi <= lo or ends[hi - 1] - starts[lo] < LEAST:
+                continue
+            # For each last part, the best first part at least LEAST characters before its end.
+            begin, end = starts[lo:hi], ends[lo:hi]
+            upto = np.searchsorted(begin, end - LEAST, "right") - 1
+            least = np.minimum.accumulate(total[begin])
+            gain = np.where(upto >= 0, total[end - 1] - least[np.maximum(upto, 0)], -np.inf)
+            j = int(gain.argmax())
+            if gain[j] <= 0:
+                continue
+            i = int(total[begin[: upto[j] + 1]].argmin())
+            if _mixed(s[begin[i] : end[j]]):
+                out.append((int(begin[i]), int(end[j])))
+            todo += [(lo, lo + i), (lo + j + 1, hi)]
+        return out
+
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         out = []
         for m in _CANDIDATE.finditer(text):
-            s, (start, end) = m.group(), m.span()
-            letters, digits = re.search("[A-Za-z]", s), re.search("[0-9]", s)
-            if not letters or not (digits or (re.search("[A-Z]", s[1:]) and re.search("[a-z]", s))):
-                continue
-            if any(a < end and start < b for a, _, b in base) or self.score(s) <= self.threshold:
-                continue
-            out.append((start, 3, end))
+            for start, end in _uncovered(*m.span(), base):
+                s = text[start:end]
+                if end - start < LEAST or not _mixed(s):
+                    continue
+                if self.score(s) > self.threshold:
+                    out.append((start, 3, end))
+                else:
+                    out += sorted((start + a, 3, start + b) for a, b in self.inner(s))
         return out
 
 
+def _mixed(s: str) -> bool:
+    """A letter and a digit, or both cases after the first letter."""
+    return bool(re.search("[A-Za-z]", s) and (re.search("[0-9]", s) or (re.search("[A-Z]", s[1:]) and re.search("[a-z]", s))))
+
+
+def _uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of [start, end) that no span of ``base``, ordered by start, covers."""
+    out, at = [], start
+    for a, _, b in base:
+        if a >= end:
+            break
+        if b > at:
+            if a > at:
+                out.append((at, a))
+            at = b
+    return [*out, (at, end)] if at < end else out
+
+
 def random_samples(n: int = 1500, seed: int = 5) -> list[str]:
     """Labelled random strings over the alphabets that keys are written in."""
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
