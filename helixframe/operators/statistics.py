@@ -83,13 +83,19 @@ def cluster_bootstrap(df: DataFrame, cluster: str, score: str, label: str, draws
 
 
 def chromosome_folds(counts: list[tuple[str, int, int]], folds: int = 5) -> dict[str, int]:
-    """Greedy fold of each chromosome: largest first, into the fold where the squared loads of both cohorts grow least."""
+    """Greedy fold of each chromosome: largest first, into the fold where the squared loads of both cohorts grow least.
+
+    Sizes are shares of each cohort's total, so both cohorts weigh equally.
+    """
+    sizes = {name: np.array([a, b], float) for name, a, b in counts}
+    total = np.maximum(sum(sizes.values(), np.zeros(2)), 1)
+    share = {name: n / total for name, n in sizes.items()}
     load = np.zeros((folds, 2))
     out: dict[str, int] = {}
-    for name, a, b in sorted(counts, key=lambda x: (-(x[1] + x[2]), x[0])):
-        grow = ((load + [a, b]) ** 2 - load**2).sum(1)
+    for name in sorted(share, key=lambda x: (-share[x].sum(), len(x), x)):
+        grow = ((load + share[name]) ** 2 - load**2).sum(1)
         out[name] = int(grow.argmin())
-        load[out[name]] += [a, b]
+        load[out[name]] += share[name]
     return out
 
 
@@ -103,3 +109,15 @@ def largest_remainder(counts: dict[str, int], cap: int) -> dict[str, int]:
     for k in sorted(exact, key=lambda k: (out[k] - exact[k], k))[: cap - sum(out.values())]:
         out[k] += 1
     return out
+
+
+def sample_tail(df: DataFrame, chromosome: str, site: str, cap: int, seed: int) -> DataFrame:
+    """All rows if at most ``cap``, else a seeded choice within each chromosome's quota; sorted by site."""
+    counts = {r[0]: r[1] for r in df.groupBy(chromosome).count().collect()}
+    if sum(counts.values()) <= cap:
+        return df.orderBy(site)
+    quota, rng = largest_remainder(counts, cap), np.random.default_rng(seed)
+    chosen = [(c, int(i)) for c in sorted(counts) for i in rng.choice(counts[c], size=quota[c], replace=False)]
+    picked = df.sparkSession.createDataFrame(chosen, f"{chromosome} string, __r int")
+    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(chromosome).orderBy(site)) - 1)
+    return ranked.join(picked, [chromosome, "__r"], "left_semi").drop("__r").orderBy(site)

@@ -70,6 +70,24 @@ def test_folds_and_quotas():
     assert sum(q.values()) == 17 and all(abs(q[k] - 17 * v / 100) < 1 for k, v in {"1": 60, "2": 30, "3": 10}.items())
 
 
+def test_folds_weigh_cohorts_equally():
+    # Shares: chr1 (0.6, 0.1), chr2 (0.3, 0.1), chr3 (0.1, 0.8); chr2 adds 0.32 to fold 0 and 0.48 to fold 1.
+    counts = [("chr1", 600, 1), ("chr2", 300, 1), ("chr3", 100, 8)]
+    assert S.chromosome_folds(counts, 2) == {"chr3": 0, "chr1": 1, "chr2": 0}
+
+
+def test_sample_tail(spark):
+    import numpy as np
+
+    rows = [(f"chr{c}", f"s{c}{i:02d}") for c, n in ((1, 20), (2, 10), (3, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "chromosome string, site string").repartition(3)
+    rng, want = np.random.default_rng(5), []
+    for c, n, k in ((1, 20, 6), (2, 10, 3), (3, 5, 1)):
+        want += [f"s{c}{i:02d}" for i in rng.choice(n, size=k, replace=False)]
+    assert [r["site"] for r in S.sample_tail(df, "chromosome", "site", 10, 5).collect()] == sorted(want)
+    assert [r["site"] for r in S.sample_tail(df, "chromosome", "site", 35, 5).collect()] == sorted(s for _, s in rows)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "vep.txt").write_text("## note\n#Uploaded_variation\tGene\tCDNA_position\nv1\t-\t3\nv2\tg\t-\n")
     assert sorted(map(tuple, files.read_vep(spark, str(tmp_path / "vep.txt")).collect())) == [("v1", None, "3"), ("v2", "g", None)]
