@@ -59,6 +59,13 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
     return out.withColumn(name, F.when(F.col(value).isNotNull(), 1 + F.size(F.filter("__cuts", lambda c: c < F.col(value))))).drop("__cuts")
 
 
+def binned_rates(df: DataFrame, x: str, y: str, label: str, bins: int = 5) -> DataFrame:
+    """Mean label by quantile bin of x (rows, column ``bin``) and of y (columns ``q1`` to ``q<bins>``)."""
+    both = quantile_bins(quantile_bins(df, x, bins, "__x"), y, bins, "__y")
+    out = both.groupBy(F.col("__x").alias("bin")).pivot("__y", list(range(1, bins + 1))).agg(F.avg(label))
+    return out.withColumnsRenamed({str(i): f"q{i}" for i in range(1, bins + 1)})
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, score: str, label: str, draws: int, seed: int = 42) -> DataFrame:
     """draw, auroc, average_precision under resampling of whole clusters.
 

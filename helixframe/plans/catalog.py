@@ -342,3 +342,11 @@ def _(t):
     SELECT 1 + (p_retailprice > c[1])::INT + (p_retailprice > c[2])::INT + (p_retailprice > c[3])::INT + (p_retailprice > c[4])::INT AS bin, round(avg((p_size > 25)::INT), 9) AS rate, count(*) AS n FROM part, q GROUP BY 1""")
 def _(t):
     return S.quantile_bins(t("part"), "p_retailprice", 5, "bin").groupBy("bin").agg(F.round(F.avg((F.col("p_size") > 25).cast("int")), 9).alias("rate"), F.count("*").alias("n"))
+
+
+@query("sta21_rate_matrix", """WITH q AS (SELECT quantile_cont(p_retailprice, [0.2, 0.4, 0.6, 0.8]) AS c, quantile_cont(p_size, [0.2, 0.4, 0.6, 0.8]) AS d FROM part),
+    b AS (SELECT 1 + (p_retailprice > c[1])::INT + (p_retailprice > c[2])::INT + (p_retailprice > c[3])::INT + (p_retailprice > c[4])::INT AS x, 1 + (p_size > d[1])::INT + (p_size > d[2])::INT + (p_size > d[3])::INT + (p_size > d[4])::INT AS y, (p_partkey % 3 = 0)::INT AS label FROM part, q)
+    SELECT x AS bin, round(avg(label) FILTER (WHERE y = 1), 9) AS q1, round(avg(label) FILTER (WHERE y = 2), 9) AS q2, round(avg(label) FILTER (WHERE y = 3), 9) AS q3, round(avg(label) FILTER (WHERE y = 4), 9) AS q4, round(avg(label) FILTER (WHERE y = 5), 9) AS q5 FROM b GROUP BY x""")
+def _(t):
+    part = t("part").withColumn("label", (F.col("p_partkey") % 3 == 0).cast("int"))
+    return S.binned_rates(part, "p_retailprice", "p_size", "label").select("bin", *[F.round(f"q{i}", 9).alias(f"q{i}") for i in range(1, 6)])
