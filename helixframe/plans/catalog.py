@@ -350,3 +350,17 @@ def _(t):
 def _(t):
     part = t("part").withColumn("label", (F.col("p_partkey") % 3 == 0).cast("int"))
     return S.binned_rates(part, "p_retailprice", "p_size", "label").select("bin", *[F.round(f"q{i}", 9).alias(f"q{i}") for i in range(1, 6)])
+
+
+@query("jon20_whole_key_sets", "(SELECT c_custkey AS k, 'left' AS side FROM customer EXCEPT SELECT o_custkey + 10, 'left' FROM orders) UNION ALL (SELECT o_custkey + 10, 'right' FROM orders EXCEPT SELECT c_custkey, 'right' FROM customer)")
+def _(t):
+    return R.key_set_difference(t("customer").select(F.col("c_custkey").alias("k")), t("orders").select((F.col("o_custkey") + 10).alias("k")), ["k"])
+
+
+@query("agg12_whole_coalescing_union", """WITH u AS (SELECT c_custkey AS k, nullif(c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name END) AS name, NULL AS bal, 0 AS o FROM customer
+    UNION ALL SELECT s_suppkey, s_name, s_acctbal, 1 FROM supplier UNION ALL SELECT c_custkey, c_name, c_acctbal, 2 FROM customer)
+    SELECT k, arg_min(name, o) FILTER (WHERE name IS NOT NULL) AS name, arg_min(bal, o) FILTER (WHERE bal IS NOT NULL) AS bal FROM u GROUP BY k""")
+def _(t):
+    c, s = t("customer"), t("supplier")
+    k, name = F.col("c_custkey").alias("k"), F.nullif("c_name", F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_name"))).alias("name")
+    return R.coalescing_union([c.select(k, name), s.select(F.col("s_suppkey").cast("long").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal")), c.select(k, F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))], ["k"])
