@@ -364,3 +364,12 @@ def _(t):
     c, s = t("customer"), t("supplier")
     k, name = F.col("c_custkey").alias("k"), F.nullif("c_name", F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_name"))).alias("name")
     return R.coalescing_union([c.select(k, name), s.select(F.col("s_suppkey").cast("long").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal")), c.select(k, F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))], ["k"])
+
+
+@query("dom14_windows_anywhere", """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) * (doc_id % 5) // 4 - 8 AS s FROM documents),
+    p AS (SELECT *, greatest(0, -s) AS l, greatest(0, s + 16 - length(t)) AS r FROM d)
+    SELECT doc_id, repeat('N', l) || substr(t, greatest(0, s) + 1, 16 - l - r) || repeat('N', r) AS s FROM p""")
+def _(t):
+    text = F.coalesce("text", F.lit(""))
+    start = (F.floor(F.length(text) * (F.col("doc_id") % 5) / 4) - 8).cast("int")
+    return t("documents").select("doc_id", G.extract_window(text, start, 16).alias("s"))
