@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,15 @@ def drop(*tables: DataFrame) -> None:
         free_shuffles(spark)
 
 
+def give_back() -> None:
+    """At the end of a Python worker's task: hand freed memory back, as the worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its own counsel
+        pass
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else unchanged.
 

@@ -12,27 +12,37 @@ differing cells is at most the symmetric difference.  A second sketch of single
 parity bits, of which a shingle flips one, has a Hamming distance that is a lower
 bound of the symmetric difference too; it sorts out pairs before they are verified.
 
-Pigeonhole join.  Sizes fall into bands of ratio 1.25; a pair is sought in the
-band of its smaller set, where m = delta(band) + 1 + t; so at least 1 + t cells
-are equal.  A cell with at most one shingle is weak: it equals by chance.  A
-document with at most t weak cells needs no weak cell, as one of any 1 + t equal
-cells is strong; a weak cell is a join key only for documents with more.
+Pigeonhole join.  Sizes fall into bands of ratio 1.1; a pair is sought in the
+band of its smaller set, where m = delta(band) + 1 + t, so at least 1 + t cells
+are equal.  Cells are ordered by their number of shingles, then by value; equal
+cells have equal places in that order.  A document leaves out its first t cells
+and sends the other delta + 1 as join keys: of 1 + t equal cells the last is sent
+by both sides.  t is chosen so that cells of no or one shingle, which are equal
+by chance, are usually among those left out.
 
 Verification.  Sets with equal hashes are one class.  In each bucket of equal
 keys every class is first compared with the bucket's smallest class; that links
-groups of near copies without forming their pairs.  Classes of one bucket that
-are then still in different components are compared in blocks of bounded size,
-by parity bits: first the closest pair of a class and another component is
-verified, then, between components still apart, every pair the bits allow.  So no link between components is
-lost, and pairs inside a known component are never formed.
+groups of near copies without forming their pairs.  Buckets whose classes are
+then still in different components are compared in blocks of bounded size, by
+parity bits, in two rounds: first every block sends the forest of the closest
+pairs between its components, fewer than it has rows; what is then still apart
+forms groups, in each block the sets that some chain of allowed pairs connects,
+and a task that reads the sets of one group finds all of its links and sends a
+forest of them.  So no link between components is lost, pairs inside a known
+component are never formed, and every step sends at most one row for each row
+that it reads.
 
 Edge cases: null text and text without words give the empty set, size 0, linked
 with nothing.  component_id is the smallest doc_id reachable, itself included;
 documents with a null doc_id take part and have the component of the others.
+Repeated rows and ties are rows of one class; a very long text is one set, whose
+block holds the fewer other sets.  An empty table gives no rows; other columns of
+``docs`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,14 +51,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, free_shuffles, read, small, text_of
+from .common import cut, drop, free_shuffles, give_back, read, small, text_of
 from .substring_dedup import Hashes, mix, windows
 
 #: Similarity in percent, and words a shingle.
 PERCENT, N = 85, 4
-RATIO = 1.25
-#: Classes in a block of a bucket's second round.
-BLOCK = 256
+RATIO = 1.1
+#: Classes in a block of a bucket, and shingles in all of its sets.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Rows that a worker compares at once, if no block has more.
+FRAME = 2048
 #: The keys are matched in slices of their hash, so that only one slice's shuffle is on disk at a time.
 SLICES = 4
 SLICE_BITS = SLICES.bit_length() - 1
@@ -59,6 +71,7 @@ class Bands:
 
     def __init__(self, percent: int = PERCENT):
         self.percent = percent
+        self._slack: dict[int, int] = {}
         self.high = [1]
         while self.high[-1] < 1 << 40:
             self.high.append(max(self.high[-1] + 1, int(self.high[-1] * RATIO)))
@@ -68,8 +81,18 @@ class Bands:
         return smaller * (100 - self.percent) // self.percent
 
     def slack(self, band: int) -> int:
-        d = self.delta(self.high[band])
-        return -(-d * 15 // 100) + 2 if d else 0
+        """Cells that a document leaves out: as many as have under two shingles, by expectation and some more."""
+        if band not in self._slack:
+            d, least = self.delta(self.high[band]), self.high[band - 1] + 1 if band else 1
+            t = 0
+            while t < d:
+                load = least / (d + 1 + t)
+                weak = (d + 1 + t) * math.exp(-load) * (1 + load)
+                if t >= weak + math.sqrt(weak):
+                    break
+                t += 1
+            self._slack[band] = t
+        return self._slack[band]
 
     def cells(self, band: int) -> int:
         return self.delta(self.high[band]) + 1 + self.slack(band)
@@ -103,6 +126,16 @@ def sketch(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return cells, sizes
 
 
+def join_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
+    """The keys of a set: in each of its bands the delta + 1 cells of the most shingles."""
+    keys = []
+    for b in bands.of(len(s)):
+        cells, sizes = sketch(s, bands.cells(b))
+        send = np.lexsort((cells, sizes))[bands.slack(b) :].astype(np.uint64)
+        keys.append(mix(cells[send] + mix(send * np.uint64(4) + np.uint64(b) * np.uint64(1 << 40))))
+    return np.concatenate(keys)
+
+
 def parity_bits(s: np.ndarray) -> np.ndarray:
     """Parity bits, one to two for each shingle (256 at least, a power of two); every shingle flips one."""
     words = 1 << max(2, (len(s) - 1).bit_length() - 6)
@@ -172,16 +205,7 @@ def sets(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
                     if not len(s):
                         rows.append((0, None, None, *[[]] * SLICES))
                         continue
-                    keys = []
-                    for b in bands.of(len(s)):
-                        m = bands.cells(b)
-                        cells, sizes = sketch(s, m)
-                        weak = sizes <= 1
-                        send = np.ones(m, bool) if weak.sum() > bands.slack(b) else ~weak
-                        # Weak cells are keys of their own: only documents with too many of them send any.
-                        mark = np.arange(m, dtype=np.uint64)[send] * np.uint64(4) + np.uint64(b) * np.uint64(1 << 40) + weak[send]
-                        keys.append(mix(cells[send] + mix(mark)))
-                    keys = np.concatenate(keys)
+                    keys = join_keys(s, bands)
                     at = keys >> np.uint64(64 - SLICE_BITS)
                     rows.append((len(s), int(mix(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(7))) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]), parity_bits(s).tobytes(), *[keys[at == i].view(np.int64) for i in range(SLICES)]))
                 out = pd.DataFrame(rows, columns=["__n", "__s", "__bits", *slices])
@@ -189,6 +213,8 @@ def sets(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
                 out.insert(0, "__x", part["__x"].to_numpy())
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield out
+        known.clear()
+        give_back()
 
     return docs.select("doc_id", F.xxhash64(text_of()).alias("__x"), text_of().alias("__text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __x long, __n long, __s long, __bits binary, " + ", ".join(f"{c} array<long>" for c in slices))
 
@@ -211,6 +237,8 @@ def _contents(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int) -
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
                 yield pd.DataFrame({"__s": part["__s"], "__set": [shingles(split_lower(t), known, n).view(np.int64) for t in part["__text"].tolist()]})
+        known.clear()
+        give_back()
 
     own = members.join(small(classes, 32), "__s", "left_semi").groupBy("__s", "doc_id", "__x").agg(F.count("*").alias("__m"))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__x", "__m"))
@@ -285,74 +313,191 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("__s"), F.col("v").alias("__c")).unionAll(now.select("v", "v").distinct())
 
 
-def _apart(rows: list[DataFrame], comps: DataFrame, sketches: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs of one bucket, but of different components, that the parity bits allow.
+class Forest:
+    """Disjoint sets of the numbers below n."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            twice = self.up[self.up]
+            if (twice == self.up).all():
+                return twice
+            self.up = twice
+
+    def join(self, i: int, j: int) -> bool:
+        """Join two sets; False if they were one."""
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        while up[j] != j:
+            up[j] = j = up[up[j]]
+        up[max(i, j)] = min(i, j)
+        return bool(i != j)
+
 
-    Of the pairs of a class with the members of another component, all if
-    ``every``, else the one with the fewest differing bits.  Buckets are compared
-    in pairs of blocks of about BLOCK classes.
+def _allowed(frame: pd.DataFrame, group: np.ndarray, percent: int, skip) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (k, j) of rows of one block, but of different components, that the parity bits allow, and their differing bits.
+
+    ``skip`` (k, j) tells the pairs that need no look any more.
     """
-    tagged = [part.join(small(comps, 32), "__s", "left").select("__key", "__s", F.coalesce("__c", "__s").alias("__c")) for part in rows]
+    c, o, p, q, size = (frame[x].to_numpy() for x in ("__c", "__o", "__p", "__q", "__size"))
+    bits = Folded(frame["__bits"].tolist())
+    for d in range(1, len(frame)):  # rows at distance d of one block
+        k = np.flatnonzero(group[d:] == group[:-d])
+        if not len(k):
+            break
+        # In a pair of blocks, what both rows of one block are to each other is the business of that block.
+        k = k[(c[k] != c[k + d]) & ((p[k] == q[k]) | (o[k] != o[k + d]))]
+        k = k[100 * np.minimum(size[k], size[k + d]) >= percent * np.maximum(size[k], size[k + d])]
+        k = k[~skip(k, k + d)]
+        far = apart(bits, k, bits, k + d)
+        near = _near(far, size[k], size[k + d], percent)
+        yield k[near], k[near] + d, far[near]
+
+
+def closest(frame: pd.DataFrame, group: np.ndarray, percent: int) -> pd.DataFrame:
+    """A forest of the closest allowed pairs between the components of each block: __a, __b."""
+    _, label = np.unique(np.stack([group, frame["__c"].to_numpy()]), axis=1, return_inverse=True)
+    forest, label = Forest(int(label.max()) + 1), label.ravel()
+    k, j, far = np.concatenate([np.empty((3, 0), np.int64), *map(np.stack, _allowed(frame, group, percent, lambda k, j: np.zeros(len(k), bool)))], axis=1)
+    order = np.lexsort((j, k, far))
+    k, j = k[order], j[order]
+    chosen = []
+    while True:
+        # Every component takes its closest pair with another one, until none is left.
+        at = forest.roots()[label]
+        open_ = np.flatnonzero(at[k] != at[j])
+        k, j = k[open_], j[open_]
+        if not len(k):
+            break
+        first = np.unique(np.concatenate([np.unique(at[k], return_index=True)[1], np.unique(at[j], return_index=True)[1]]))
+        chosen += [(x, y) for x, y in zip(k[first].tolist(), j[first].tolist()) if forest.join(label[x], label[y])]
+    s = frame["__s"].to_numpy()
+    x, y = np.array(chosen, np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"__a": s[x], "__b": s[y]})
+
+
+def gather(frame: pd.DataFrame, group: np.ndarray, percent: int) -> pd.DataFrame:
+    """The classes of each block that chains of allowed pairs connect: __a, the same for all of a chain, and __b, a class."""
+    forest = Forest(len(frame))
+    at = forest.roots()
+    for k, j, _ in _allowed(frame, group, percent, lambda k, j: at[k] == at[j]):
+        for x, y in zip(k.tolist(), j.tolist()):
+            forest.join(x, y)
+        at = forest.roots()
+    s = frame["__s"].to_numpy()
+    _, back, count = np.unique(at, return_inverse=True, return_counts=True)
+    mine = np.flatnonzero(count[back] > 1)
+    # The chain's name comes from its classes alone, so equal chains of several blocks are one.
+    name = np.zeros(len(count), np.uint64)
+    np.bitwise_xor.at(name, back[mine], mix(s[mine].view(np.uint64) + np.uint64(21)))
+    return pd.DataFrame({"__a": name[back[mine]].view(np.int64), "__b": s[mine]})
+
+
+def _frames(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole blocks (rows of equal ``by``, which lie side by side), with the number of each row's block."""
+    held = None
+
+    def cuts(frame, whole):
+        ids = frame[by].to_numpy()
+        group = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]).any(1))])
+        edge = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), *[len(frame)] * whole]
+        lo = 0
+        for i in range(1, len(edge)):
+            if edge[i] - lo >= FRAME or i == len(edge) - 1:
+                yield frame.iloc[lo : edge[i]], group[lo : edge[i]]
+                lo = edge[i]
+        yield frame.iloc[lo:], None
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        for part, group in cuts(batch if held is None else pd.concat([held, batch], ignore_index=True), False):
+            if group is None:
+                held = part.reset_index(drop=True)
+            else:
+                yield part.reset_index(drop=True), group
+    if held is not None and len(held):
+        for part, group in cuts(held, True):
+            if group is not None and len(part):
+                yield part.reset_index(drop=True), group
+
+
+def _blocks(rows: list[DataFrame], comps: DataFrame, sketches: DataFrame, percent: int, what) -> DataFrame:
+    """__a, __b: what ``closest`` or ``gather`` says of the buckets with several components, in blocks of BLOCK classes or pairs of such."""
+    info = cut(sketches.select("__s", "__size").join(small(comps, 32), "__s", "left").select("__s", "__size", F.coalesce("__c", "__s").alias("__c")))
+    tagged = [part.join(small(info, 48), "__s") for part in rows]
     same = (F.count("*").alias("__m"), F.bit_xor(F.xxhash64("__s")).alias("__f1"), F.sum(F.xxhash64("__s", F.lit(5)).cast("decimal(38,0)")).alias("__f2"))
     mixed = None
     for part in tagged:
-        own = part.groupBy("__key").agg(*same, F.min("__c").alias("__lo"), F.max("__c").alias("__hi")).where("__m >= 3 and __lo <> __hi")
+        own = part.groupBy("__key").agg(*same, F.sum("__size").alias("__all"), F.min("__c").alias("__lo"), F.max("__c").alias("__hi")).where("__m >= 3 and __lo <> __hi")
         mixed = own if mixed is None else mixed.unionAll(own)
     # Near copies share many cells: of buckets with the same classes one is enough.
-    mixed = cut(mixed.groupBy("__m", "__f1", "__f2").agg(F.min("__key").alias("__key")).select("__key", "__m"))
+    mixed = cut(mixed.groupBy("__m", "__f1", "__f2").agg(F.min("__key").alias("__key"), F.first("__all").alias("__all")).select("__key", "__m", "__all"))
     free_shuffles(sketches.sparkSession)
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        s, c, o, p, q, size = (frame[x].to_numpy() for x in ("__s", "__c", "__o", "__p", "__q", "__size"))
-        ids = frame[["__key", "__p", "__q"]].to_numpy()
-        group = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]).any(1))])
-        bits = Folded(frame["__bits"].tolist())
-        found = []
-        for d in range(1, len(s)):  # rows at distance d of one group
-            k = np.flatnonzero(group[d:] == group[:-d])
-            if not len(k):
-                break
-            k = k[(c[k] != c[k + d]) & ((p[k] == q[k]) | (o[k] != o[k + d]))]
-            k = k[100 * np.minimum(size[k], size[k + d]) >= percent * np.maximum(size[k], size[k + d])]
-            j = k + d
-            far = apart(bits, k, bits, j)
-            near = _near(far, size[k], size[j], percent)
-            k, j, far = k[near], j[near], far[near]
-            turn = (p[k] != q[k]) & (o[k] != p[k])  # the first of a pair is of block p
-            found.append(np.stack([np.where(turn, j, k), np.where(turn, k, j), far]))
-        k, j, far = np.concatenate([np.empty((3, 0), np.int64), *found], axis=1)
-        if not every and len(k):
-            order = np.lexsort((j, far, c[j], k))
-            k, j = k[order], j[order]
-            first = np.concatenate([[True], (k[1:] != k[:-1]) | (c[j][1:] != c[j][:-1])])
-            k, j = k[first], j[first]
-        return pd.DataFrame({"a": s[k], "b": s[j]})
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if len(batch):
-                ids = batch[["__key", "__p", "__q"]].to_numpy()
-                last = int(np.flatnonzero((ids != ids[-1]).any(1)).max(initial=-1)) + 1
-                held = batch.iloc[last:]
-                if last:
-                    yield compare(batch.iloc[:last])
-        if held is not None and len(held):
-            yield compare(held)
+        for frame, group in _frames(batches, ["__key", "__p", "__q"]):
+            yield what(frame, group, percent)
+        give_back()
 
     out = None
     for part in tagged:
-        open_ = part.join(mixed, "__key")
-        open_ = open_.withColumn("__w", F.ceil(F.col("__m") / BLOCK).cast("int")).withColumn("__o", F.pmod(F.xxhash64("__s", F.lit(3)), F.col("__w")).cast("int"))
+        open_ = part.join(small(mixed, 48), "__key")
+        wide = F.greatest(F.ceil(F.col("__m") / BLOCK), F.ceil(F.col("__all") / BLOCK_SHINGLES)).cast("int")
+        open_ = open_.withColumn("__w", wide).withColumn("__o", F.pmod(F.xxhash64("__s", F.lit(3)), F.col("__w")).cast("int"))
         dealt = open_.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__w") - 1)))
-        dealt = dealt.select("__key", F.least("__o", "__i").alias("__p"), F.greatest("__o", "__i").alias("__q"), "__o", "__s", "__c")
-        grouped = dealt.join(sketches, "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
-        found = cut(grouped.mapInPandas(run, "a long, b long").distinct())
+        dealt = dealt.select("__key", F.least("__o", "__i").alias("__p"), F.greatest("__o", "__i").alias("__q"), "__o", "__s", "__c", "__size")
+        grouped = dealt.join(sketches.select("__s", "__bits"), "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
+        found = cut(grouped.mapInPandas(run, "__a long, __b long").distinct())
         free_shuffles(sketches.sparkSession)
         out = found if out is None else out.unionAll(found)
-    drop(mixed)
-    return out.distinct()
+    drop(mixed, info)
+    return cut(out.distinct())
+
+
+def forest_of(sets_: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of all links of some sets: overlaps are counted as products of their columns of shared shingles."""
+    n, size = len(sets_), np.array([len(x) for x in sets_], np.int64)
+    _, column, count = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    shared = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    owner, column = owner[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both, step = np.zeros((n, n), np.float32), max(64, (1 << 21) // n)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [lo, lo + step])
+        part = np.zeros((n, step), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    forest = Forest(n)
+    pairs = np.argwhere(np.triu(100 * both >= percent * (size[:, None] + size - both), 1))
+    return [(i, j) for i, j in pairs.tolist() if forest.join(i, j)]
+
+
+def _link_groups(groups: DataFrame, docs: DataFrame, members: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (a, b) that connect what is linked within each group (__a its name, __b a class)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, group in _frames(batches, ["__a"]):
+            s, sets_, found = frame["__b"].to_numpy(), frame["__set"].tolist(), []
+            edge = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(s)]
+            for lo, hi in zip(edge, edge[1:]):
+                found += [(s[lo + i], s[lo + j]) for i, j in forest_of(sets_[lo:hi], percent)]
+            yield pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+        give_back()
+
+    classes = cut(groups.select(F.col("__b").alias("__s")).distinct())
+    contents = cut(_contents(docs, classes, members, n))
+    dealt = groups.join(contents.withColumnRenamed("__s", "__b"), "__b").select("__a", "__b", "__set").repartition("__a").sortWithinPartitions("__a")
+    out = cut(dealt.mapInPandas(run, "a long, b long").distinct())
+    drop(classes, contents)
+    return out
 
 
 def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
@@ -380,14 +525,16 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     edges = _verify(pairs, sketches, docs, members, percent, n)
     drop(pairs, involved)
     comps = cut(components(edges))
-    # Classes still apart: first the closest pair with each other component, then, where that did not link, every pair.
-    for every in (False, True):
-        more = cut(_apart(parts, comps, sketches, percent, every))
-        free_shuffles(docs.sparkSession)
-        more = _verify(more, sketches, docs, members, percent, n) if not more.isEmpty() else more
-        if not more.isEmpty():
-            edges = cut(edges.unionAll(more))
-            comps = cut(components(edges))
+    # Classes still apart: first forests of the closest pairs, then whole groups of what these did not link.
+    more = _blocks(parts, comps, sketches, percent, closest)
+    if not more.isEmpty():
+        edges = cut(edges.unionAll(_verify(more.select(F.col("__a").alias("a"), F.col("__b").alias("b")), sketches, docs, members, percent, n)))
+        comps = cut(components(edges))
+        groups = _blocks(parts, comps, sketches, percent, gather)
+        if not groups.isEmpty():
+            comps = cut(components(edges.unionAll(_link_groups(groups, docs, members, percent, n))))
+        drop(groups)
+    drop(more)
     drop(rows, sketches)
     labelled = members.join(small(comps, 32), "__s", "left").withColumn("__c", F.coalesce("__c", "__s"))
     smallest = cut(labelled.where("__c is not null").groupBy("__c").agg(F.min("doc_id").alias("__least"), F.count("*").alias("__size")).where("__size >= 2"))
@@ -409,18 +556,16 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame
     marked = groups.join(small(best, 48), "__class").groupBy(F.col("doc_id").alias("__g"), F.col("__x").alias("__gx"), stays.alias("__stays")).agg(F.count("*").alias("__m"))
     marked = cut(marked.where("not __stays or __m >= 2"))
     gone, again = marked.where("not __stays").select("__g", "__gx"), marked.where("__stays").select("__g", "__gx")
-    own = docs.withColumn("__x", F.xxhash64(text_of()))
-    same = F.col("doc_id").eqNullSafe(F.col("__g")) & (F.col("__x") == F.col("__gx"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.struct("*").alias("__d"), F.col("doc_id").alias("__id"), F.xxhash64(text_of()).alias("__x"))
+    same = F.col("__id").eqNullSafe(F.col("__g")) & (F.col("__x") == F.col("__gx"))
     out = own.join(small(gone, 48), same, "left_anti")
     if again.isEmpty():
-        return out.select(names)
+        return out.select("__d.*")
     # Rows that repeat the doc_id and the text that stay: one of them, chosen by content.
-    row = F.struct(*names)
     held = own.join(small(again, 48), same, "left_semi")
-    one = held.groupBy(F.col("doc_id").alias("__a"), F.col("__x").alias("__ax")).agg(F.min_by(row, F.xxhash64(*names)).alias("__r")).select([F.col(f"__r.`{c}`").alias(c) for c in docs.columns])
-    rest = out.join(small(again, 48), same, "left_anti").select(names)
-    return rest.unionByName(one)
+    one = held.groupBy("__id", "__x").agg(F.min_by("__d", F.xxhash64("__d")).alias("__d"))
+    rest = out.join(small(again, 48), same, "left_anti")
+    return rest.select("__d.*").unionByName(one.select("__d.*"))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

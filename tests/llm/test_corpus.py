@@ -268,6 +268,18 @@ def test_jaccard_join(docs, texts, odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 1
 
 
+def test_stages_keep_clashing_columns(spark):
+    """Extra columns that bear an operator's own working names come through unchanged."""
+    names = ["__x", "__d", "__t1", "__key", "__g", "__id"]
+    say = lambda k, m=30: " ".join(f"{k}{i}" for i in range(m))
+    rows = [(1, say("a"), *range(6)), (2, say("b"), *range(6)), (2, say("b"), *range(6)), (3, say("a") + " z", *range(6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    items = spark.createDataFrame([(1, say("q"))], "item_id long, text string")
+    for out in (jaccard_join.near_dedup(df), exact_dedup.dedup(df), decontamination.clean(df, items)):
+        got = out.collect()
+        assert out.columns == df.columns and {r[0] for r in got} >= {1, 2} and {tuple(r)[2:] for r in got} == {tuple(range(6))}
+
+
 def test_near_dedup_tells_rows_apart(spark):
     """Null and repeated doc_ids: only linked rows go, one row of each component stays."""
     say = lambda k, m=30: " ".join(f"{k}{i}" for i in range(m))
@@ -284,22 +296,62 @@ def test_near_dedup_tells_rows_apart(spark):
     assert sorted(r[2] for r in kept if r[2] != "stays") == ["either", "twice"]
 
 
+def test_jaccard_join_chain_of_near_copies(spark, monkeypatch):
+    """2,000 near copies in a chain: neighbours link, the ends do not, and blocks are far smaller than the group."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    monkeypatch.setattr(jaccard_join, "FRAME", 200)
+    dice = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(2000):
+        texts.append(" ".join(words))
+        at = dice.randrange(60)
+        words[at] = f"n{i}"  # four shingles of 57 change: 53 / 61 is over 85 %, two changes are not
+    texts += [t + " tail" for t in texts[:20]]
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df).collect()}
+    want = jaccard_join.brute_force(texts, ids)
+    assert [got[i] for i in ids] == want and len({c for _, c in want}) < 40
+
+
+def test_jaccard_join_star_of_copies(spark):
+    """Copies that only their common source links, and classes that nothing links, in the same buckets."""
+    dice = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(300):
+        w = list(base)
+        for at in dice.sample(range(4, 116), 3 if i % 3 else 9):
+            w[at] = f"x{i}_{at}"
+        texts.append(" ".join(w))
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(6)
+    for percent, n in ((85, 4), (80, 5)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df, percent, n).collect()}
+        assert [got[i] for i in ids] == jaccard_join.brute_force(texts, ids, percent, n)
+
+
+def test_forest_of_links_what_brute_force_links():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = np.arange(50)
+    sets = [np.unique(np.where(rng.random(50) < 0.08, rng.integers(50, 90, 50), base)) for _ in range(40)] + [np.array([7]), np.array([7, 8])]
+    root = jaccard_join.Forest(len(sets))
+    for i, j in jaccard_join.forest_of(sets, 85):
+        assert jaccard_join._linked(sets[i], sets[j], 85) and root.join(i, j)
+    at = root.roots()
+    assert all(at[i] == at[j] for i in range(len(sets)) for j in range(i) if jaccard_join._linked(sets[i], sets[j], 85))
+
+
 def test_jaccard_join_finds_pairs_at_the_bound():
     """Every pair of linked random sets shares a join key."""
     import numpy as np
 
     bands, rng = jaccard_join.Bands(), np.random.default_rng(2)
 
-    def keys(s):
-        out = set()
-        for b in bands.of(len(s)):
-            m = bands.cells(b)
-            cells, sizes = jaccard_join.sketch(s, m)
-            weak = sizes <= 1
-            for i in range(m):
-                if not weak[i] or weak.sum() > bands.slack(b):
-                    out.add((b, i, bool(weak[i]), int(cells[i])))
-        return out
+    keys = lambda s: set(jaccard_join.join_keys(s, bands).tolist())
 
     for n in (1, 5, 6, 7, 12, 40, 111, 300, 700):
         for _ in range(20):
