@@ -163,7 +163,14 @@ def fit(randoms: list[str], identifiers: list[str]) -> Model:
 
 
 def fit_on(docs: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit).collect()
+    """A model whose identifiers come from the ``limit`` documents of the lowest hashes.
+
+    Hashes are chosen first, then only these documents are read; of equal ones
+    the first counts.
+    """
+    key = F.xxhash64("doc_id", "text")
+    lowest = [r[0] for r in docs.where(F.col("text").isNotNull()).select(key.alias("k")).distinct().orderBy("k").limit(limit).collect()]
+    rows = docs.where(F.col("text").isNotNull() & key.isin(lowest)).groupBy(key.alias("k")).agg(F.first("text").alias("text")).collect() if lowest else []
     return fit(random_samples(), identifier_samples([r["text"] for r in rows]))
 
 
