@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import give_back, read, text_of
 
 #: Pieces up to so many bytes are encoded by plain merging.
 LEAF = 8
@@ -209,7 +209,8 @@ def shipped(spark: SparkSession, path: str | None = None, pattern: str | None =
     """A broadcast of (ranks, pattern): the driver reads the vocabulary (under 1 MB), executors need no file."""
     own = default_codec()
     codec = load(path or own[0], pattern or own[1])
-    return spark.sparkContext.broadcast((codec.ranks, codec.pattern))
+    mark = hashlib.sha256(repr((codec.pattern, sorted(codec.ranks.items()))).encode()).hexdigest()
+    return spark.sparkContext.broadcast((codec.ranks, codec.pattern, mark))
 
 
 _codec: dict[str, Codec] = {}
@@ -217,10 +218,11 @@ _codec: dict[str, Codec] = {}
 
 def _here(shared) -> Codec:
     """This worker's codec of a broadcast vocabulary, kept between tasks."""
-    if shared.value[1] not in _codec:
+    ranks, pattern, mark = shared.value
+    if mark not in _codec:
         _codec.clear()
-        _codec[shared.value[1]] = Codec(*shared.value)
-    return _codec[shared.value[1]]
+        _codec[mark] = Codec(ranks, pattern)
+    return _codec[mark]
 
 
 def transcode(docs: DataFrame, shared, ids: bool = True) -> DataFrame:
@@ -239,6 +241,7 @@ def transcode(docs: DataFrame, shared, ids: bool = True) -> DataFrame:
                 if ids:
                     out["token_ids"] = pd.Series([np.frombuffer(p, "<u4").astype(np.int32) for p in packed], index=out.index, dtype=object)
                 yield out
+        give_back()
 
     return docs.mapInPandas(run, fields)
 
