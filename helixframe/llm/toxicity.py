@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import held_out, labelled_sample, read, text_of
+from .common import give_back, held_out, labelled_sample, read, text_of
 
 WORD = re.compile(r"\w+")
 #: The model is fitted on at most so many labelled rows of either label.
@@ -166,12 +166,11 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
     if not hit.any():
         return out
     low = text.lower()
-    if len(low) != len(text):  # a few letters change length: find the words in the text itself
-        at = [m.span() for m in WORD.finditer(text)]
-        if len(at) != len(p):
-            at = [m.span() for m in WORD.finditer(low)]
-    else:
-        at = [m.span() for m in WORD.finditer(low)]
+    at = [m.span() for m in WORD.finditer(low)]
+    if len(low) != len(text):  # a few letters become several when lower-cased: count back to the text's own places
+        home = [i for i, c in enumerate(text) for _ in c.lower()]
+        # A capital sigma lower-cases by its place, always to one letter, so lengths agree.
+        at = [(home[a], home[b - 1] + 1) for a, b in at]
     for i in np.flatnonzero(hit).tolist():
         if out and i and hit[i - 1]:
             out[-1] |= {"end": at[i][1], "p": max(out[-1]["p"], float(p[i]))}
@@ -225,5 +224,6 @@ def reject(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> Data
                     p, ends = model.marginals([WORD.findall((t or "").lower()) for t in part["text"].tolist()])
                     part = part[model.scores(p, ends) < threshold]
                 yield part[names]
+        give_back()
 
     return docs.mapInPandas(run, out)
