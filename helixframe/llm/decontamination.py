@@ -15,7 +15,9 @@ an item of fewer words, but not none, is one window.
 
 Steps 2 and 3 use (xxhash64 of text, length of text) as the key of a text; equal
 texts have equal results, so repeated rows and ids need no care.  Null text has
-no words; a null item text has no window.
+no words; a null item text has no window.  A very long text is one row of arrays
+until its windows are rows.  Without documents there are no rows, without items
+no hits.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read, small, text_of
+from .common import BROADCAST_BYTES, cut, read, small, text_of
 
 N = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,14 +111,16 @@ def scan(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     seen = seen.withColumn("__x", F.transform("__spots", lambda x: F.struct(x["__s"].alias("s"), x["__l"].alias("l"), x["__h"].alias("h"), F.slice("__words", x["__s"] + 1, x["__l"]).alias("g"))))
     seen = seen.select("__t1", "__t2", F.explode("__x").alias("__x")).select("__t1", "__t2", "__x.*")
     by_gram = cut(grams.groupBy("__len", "__hash", "__gram").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("__items")))
-    true = seen.join(small(by_gram, 512), (F.col("l") == F.col("__len")) & (F.col("h") == F.col("__hash")) & (F.col("g") == F.col("__gram")))
+    width = by_gram.agg(F.sum(64 + F.aggregate("__gram", F.lit(0), lambda a, w: a + F.octet_length(w) + 16) + F.aggregate("__items", F.lit(0), lambda a, w: a + F.octet_length(w) + 16))).first()[0]
+    true = seen.join(F.broadcast(by_gram) if (width or 0) <= BROADCAST_BYTES else by_gram, (F.col("l") == F.col("__len")) & (F.col("h") == F.col("__hash")) & (F.col("g") == F.col("__gram")))
     result = true.groupBy("__t1", "__t2").agg(F.array_sort(F.collect_set(F.struct("s", "l"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__items")))).alias("items"))
     ahead = F.aggregate(
         "hits", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a["end"], x["s"] + x["l"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["s"] + x["l"] - F.greatest(a["end"], x["s"]))).alias("n")),
     )
     result = cut(result.select("__t1", "__t2", "hits", "items", ahead["n"].alias("n_hit")))
-    return heads.join(small(result, 2048), ["__t1", "__t2"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+    width = result.agg(F.sum(96 + 16 * F.size("hits") + F.aggregate("items", F.lit(0), lambda a, w: a + F.octet_length(w) + 16))).first()[0]
+    return heads.join(F.broadcast(result) if (width or 0) <= BROADCAST_BYTES else result, ["__t1", "__t2"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -131,8 +135,9 @@ def op9_decontamination(spark, sf_dir: str) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """The rows of ``docs`` without a hit, all columns kept."""
     bad = cut(scan(docs, items, n).where("n_hit > 0").select("__t1", "__t2").distinct())
-    marked = docs.select("*", *_key())
-    return marked.join(small(bad, 32), ["__t1", "__t2"], "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    # Rows travel as one struct, so that no column's name can clash with a working one.
+    marked = docs.select(F.struct("*").alias("__d"), *_key())
+    return marked.join(small(bad, 32), ["__t1", "__t2"], "left_anti").select("__d.*")
 
 
 _WORDS_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), '" + _UPPER + "', '" + _LOWER + "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
