@@ -9,11 +9,11 @@ A false suspicion costs a shuffled row and never changes the result.
 Texts are equal when they are identical after deleting every space and every
 character from U+0009 to U+000D; null counts as empty.  Of equal texts the row
 with the most code points in the original text stays, then the smallest doc_id
-(nulls last), then any one of fully equal rows.
+(nulls last), then any one of fully equal rows.  A very long text is hashed where
+it is read; an empty table gives no rows; other columns may bear any name.
 
 A row of copies is never gathered in one task: cell counts and group winners are
-partial aggregates, and suspicious rows meet their winner in a join whose hot
-keys Spark splits.
+partial aggregates, and rows of large groups meet their winner in a broadcast.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import BROADCAST_BYTES, cut, read, small, text_of
 
 #: Filter cells a row, for each of the two hashes.
 CELLS_PER_ROW = 8
+#: A group of more than one row in so many is joined by broadcast; there are at most so many.
+HOT = 4096
 _PAGE = 32768  # bits of a bitmap page, fixed by Spark's bitmap functions
 
 
@@ -72,14 +74,19 @@ def suspicious(rows: DataFrame, n: int) -> DataFrame:
 def decide(docs: DataFrame) -> DataFrame:
     """doc_id, __row, __sha, keep_id, group_size, kept of every row of ``docs``."""
     rows = cut(_narrow(docs))
-    tested = cut(suspicious(rows, rows.count()))
+    n = rows.count()
+    tested = cut(suspicious(rows, n))
     alone = tested.where("not __maybe").select("doc_id", "__row", "__sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     maybe = tested.where("__maybe")
     best = F.struct(-F.col("__len"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
     won = maybe.groupBy("__sha").agg(F.min(best).alias("__best"), F.count("*").alias("group_size"))
-    won = won.select("__sha", "group_size", F.col("__best.doc_id").alias("keep_id"), F.col("__best.__row").alias("__keep_row"))
-    rest = maybe.join(won, "__sha").select("doc_id", "__row", "__sha", "keep_id", "group_size", (F.col("__row") == F.col("__keep_row")).alias("kept"))
-    return alone.unionByName(rest)
+    won = cut(won.select("__sha", "group_size", F.col("__best.doc_id").alias("keep_id"), F.col("__best.__row").alias("__keep_row")))
+    out = alone
+    # Groups of at least a 1 / HOT of all rows, at most HOT by count, are broadcast; so no shuffled key is hot.
+    hot = F.col("group_size") * HOT >= n
+    for some, side in ((F.broadcast(won.where(hot)), maybe), (won.where(~hot), maybe.join(F.broadcast(won.where(hot)), "__sha", "left_anti"))):
+        out = out.unionByName(side.join(some, "__sha").select("doc_id", "__row", "__sha", "keep_id", "group_size", (F.col("__row") == F.col("__keep_row")).alias("kept")))
+    return out
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
@@ -94,22 +101,20 @@ def dedup(docs: DataFrame) -> DataFrame:
     bound, else by a join.  Fully equal rows, which no key tells apart, are
     first made one by a partial aggregate.
     """
-    names = docs.columns
-    key = F.struct(F.col("doc_id"), F.unhex(F.sha2(F.encode(normalised(), "utf-8"), 256)), F.length(text_of()))
+    # Rows travel as one struct, so that no column's name can clash with a working one.
+    marked = docs.select(F.struct("*").alias("__d"), F.col("doc_id").alias("__id"), F.unhex(F.sha2(F.encode(normalised(), "utf-8"), 256)).alias("__sha2"), F.length(text_of()).alias("__len2"))
     decided = cut(decide(docs))
     gone = cut(decided.where("not kept").select(F.col("doc_id").alias("__g_id"), F.col("__sha").alias("__g_sha")).distinct())
     # A (doc_id, sha) that both stays and goes belongs to repeated rows.
     both = decided.where("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("__g_id")) & (F.col("__sha") == F.col("__g_sha")), "left_semi").select(F.col("doc_id").alias("__b_id"), F.col("__sha").alias("__b_sha"))
     both = cut(both)
-    marked = docs.withColumn("__key", key)
-    on = lambda i, s: F.col("__key.doc_id").eqNullSafe(F.col(i)) & (F.col("__key.col2") == F.col(s))
-    out = marked.join(small(gone, 96), on("__g_id", "__g_sha"), "left_anti").select(names)
+    on = lambda i, s: F.col("__id").eqNullSafe(F.col(i)) & (F.col("__sha2") == F.col(s))
+    out = marked.join(small(gone, 96), on("__g_id", "__g_sha"), "left_anti").select("__d.*")
     if both.isEmpty():
         return out
     again = marked.join(small(both, 96), on("__b_id", "__b_sha"), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
-    again = again.groupBy(F.col("__key.doc_id").alias("__i"), F.col("__key.col2").alias("__s")).agg(F.max_by(row, F.col("__key.col3")).alias("__r"))
-    return out.unionByName(again.select([F.col(f"__r.`{c}`").alias(c) for c in names]))
+    again = again.groupBy("__id", "__sha2").agg(F.max_by("__d", F.struct("__len2", F.xxhash64("__d"))).alias("__d"))
+    return out.unionByName(again.select("__d.*"))
 
 
 ORACLE_SQL = """
@@ -118,9 +123,3 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
        row_number() OVER w = 1 AS kept, s AS text_sha256
 FROM t WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id)
 """
-
-#: The rows of ``documents`` that stay.
-STAGE_SQL = """
-SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')
-  ORDER BY length(coalesce(text, '')) DESC, doc_id) AS __rank FROM {docs}) WHERE __rank = 1
-"""
