@@ -21,10 +21,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is configured."""
+    """The folder that driver and executors share; a temporary one only if none is configured and all is one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="helixframe-"))
     return sc.getCheckpointDir()
 
 
@@ -94,7 +97,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Only rows outside the held-out fold, of a doc_id that ``docs`` has, count.  The rows are those whose doc_id
     hashes lowest, so the sample depends neither on order nor on partitions.  A
-    doc_id with several labels gets ``conflict`` (an aggregate) of them.
+    doc_id with several labels gets ``conflict`` (an aggregate) of them; of a
+    doc_id with several rows the text of the lowest hash counts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(conflict(label).alias("__y")).where(~held_out())
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -102,6 +106,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y in (0, 1):
         part = known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
-    rows = docs.select("doc_id", text_of().alias("__text")).join(F.broadcast(picked), "doc_id").select("doc_id", "__text", "__y").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["__text"]))
+    found = docs.select("doc_id", text_of().alias("__text")).join(F.broadcast(picked), "doc_id")
+    # Two texts of one hash are ordered by themselves, so that runs agree.
+    found = found.groupBy("doc_id", "__y").agg(F.min(F.struct(F.xxhash64("__text"), F.col("__text").alias("t"))).alias("__t"))
+    rows = found.select("doc_id", F.col("__t.t").alias("__text"), "__y").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [(r["__text"], int(r["__y"])) for r in rows]
