@@ -12,7 +12,7 @@ differing cells is at most the symmetric difference.  A second sketch of single
 parity bits, of which a shingle flips one, has a Hamming distance that is a lower
 bound of the symmetric difference too; it sorts out pairs before they are verified.
 
-Pigeonhole join.  Sizes fall into bands of ratio 1.1; a pair is sought in the
+Pigeonhole join.  Sizes fall into bands of ratio 1.2; a pair is sought in the
 band of its smaller set, where m = delta(band) + 1 + t, so at least 1 + t cells
 are equal.  Cells are ordered by their number of shingles, then by value; equal
 cells have equal places in that order.  A document leaves out its first t cells
@@ -56,7 +56,7 @@ from .substring_dedup import Hashes, mix, windows
 
 #: Similarity in percent, and words a shingle.
 PERCENT, N = 85, 4
-RATIO = 1.1
+RATIO = 1.2
 #: Classes in a block of a bucket, and shingles in all of its sets.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Rows that a worker compares at once, if no block has more.
