@@ -62,7 +62,7 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Rows that a worker compares at once, if no block has more.
 FRAME = 2048
 #: The keys are matched in slices of their hash, so that only one slice's shuffle is on disk at a time.
-SLICES = 4
+SLICES = 2
 SLICE_BITS = SLICES.bit_length() - 1
 
 
