@@ -260,8 +260,8 @@ def _near(apart, x, y, percent: int):
     return (100 + percent) * apart <= (100 - percent) * (x + y)
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, members: DataFrame, percent: int, n: int) -> DataFrame:
-    """The linked pairs (a, b) of candidate pairs: parity bits sort out most, the sets of the others decide."""
+def _verify(pairs: DataFrame, sketches: DataFrame | None, docs: DataFrame, members: DataFrame, percent: int, n: int) -> DataFrame:
+    """The linked pairs (a, b) of candidate pairs: parity bits, if given, sort out most, the sets of the others decide."""
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -278,15 +278,19 @@ def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, members: Dat
     def side(table: DataFrame, key: str, what: str, to: str, *more) -> DataFrame:
         return table.select(F.col("__s").alias(key), F.col(what).alias(to), *more)
 
-    size = F.col("__size")
-    sifted = pairs.join(side(sketches, "a", "__bits", "__x", size.alias("__m")), "a").join(side(sketches, "b", "__bits", "__y", size.alias("__n")), "b")
-    sifted = cut(sifted.select("a", "b", "__x", "__y", "__m", "__n").mapInPandas(sift, "a long, b long"))
+    sifted = pairs
+    if sketches is not None:
+        size = F.col("__size")
+        both = pairs.join(side(sketches, "a", "__bits", "__x", size.alias("__m")), "a").join(side(sketches, "b", "__bits", "__y", size.alias("__n")), "b")
+        sifted = cut(both.select("a", "b", "__x", "__y", "__m", "__n").mapInPandas(sift, "a long, b long"))
     free_shuffles(docs.sparkSession)
     classes = cut(sifted.select(F.col("a").alias("__s")).unionAll(sifted.select("b")).distinct())
     contents = cut(_contents(docs, classes, members, n))
     out = sifted.join(side(contents, "a", "__set", "__x"), "a").join(side(contents, "b", "__set", "__y"), "b")
     out = cut(out.select("a", "b", "__x", "__y").mapInPandas(run, "a long, b long"))
-    drop(sifted, classes, contents)
+    drop(classes, contents)
+    if sketches is not None:
+        drop(sifted)
     return out
 
 
@@ -443,19 +447,16 @@ def _blocks(rows: list[DataFrame], comps: DataFrame, sketches: DataFrame, percen
             yield what(frame, group, percent)
         give_back()
 
-    out = None
-    for part in tagged:
-        open_ = part.join(small(mixed, 48), "__key")
-        wide = F.greatest(F.ceil(F.col("__m") / BLOCK), F.ceil(F.col("__all") / BLOCK_SHINGLES)).cast("int")
-        open_ = open_.withColumn("__w", wide).withColumn("__o", F.pmod(F.xxhash64("__s", F.lit(3)), F.col("__w")).cast("int"))
-        dealt = open_.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__w") - 1)))
-        dealt = dealt.select("__key", F.least("__o", "__i").alias("__p"), F.greatest("__o", "__i").alias("__q"), "__o", "__s", "__c", "__size")
-        grouped = dealt.join(sketches.select("__s", "__bits"), "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
-        found = cut(grouped.mapInPandas(run, "__a long, __b long").distinct())
-        free_shuffles(sketches.sparkSession)
-        out = found if out is None else out.unionAll(found)
+    open_ = reduce(DataFrame.unionAll, [part.join(small(mixed, 48), "__key") for part in tagged])
+    wide = F.greatest(F.ceil(F.col("__m") / BLOCK), F.ceil(F.col("__all") / BLOCK_SHINGLES)).cast("int")
+    open_ = open_.withColumn("__w", wide).withColumn("__o", F.pmod(F.xxhash64("__s", F.lit(3)), F.col("__w")).cast("int"))
+    dealt = open_.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__w") - 1)))
+    dealt = dealt.select("__key", F.least("__o", "__i").alias("__p"), F.greatest("__o", "__i").alias("__q"), "__o", "__s", "__c", "__size")
+    grouped = dealt.join(sketches.select("__s", "__bits"), "__s").repartition("__key", "__p", "__q").sortWithinPartitions("__key", "__p", "__q")
+    out = cut(grouped.mapInPandas(run, "__a long, __b long").distinct())
+    free_shuffles(sketches.sparkSession)
     drop(mixed, info)
-    return cut(out.distinct())
+    return out
 
 
 def forest_of(sets_: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -528,7 +529,7 @@ def link(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     # Classes still apart: first forests of the closest pairs, then whole groups of what these did not link.
     more = _blocks(parts, comps, sketches, percent, closest)
     if not more.isEmpty():
-        edges = cut(edges.unionAll(_verify(more.select(F.col("__a").alias("a"), F.col("__b").alias("b")), sketches, docs, members, percent, n)))
+        edges = cut(edges.unionAll(_verify(more.select(F.col("__a").alias("a"), F.col("__b").alias("b")), None, docs, members, percent, n)))
         comps = cut(components(edges))
         groups = _blocks(parts, comps, sketches, percent, gather)
         if not groups.isEmpty():
