@@ -20,26 +20,44 @@ def select_transcripts(vep: DataFrame, removed: list[str], coding: str = "protei
         kept = kept.join(targets.select("variant", F.col("target_gene").alias("gene")), ["variant", "gene"])
     flags = kept.groupBy("variant").agg(F.bool_or(F.col("biotype") == coding).alias("__c"), F.bool_or(F.col("biotype") == noncoding).alias("__n")).where(F.coalesce("__c", F.lit(False)) != F.coalesce("__n", F.lit(False)))
     kept = kept.join(flags.select("variant"), "variant", "left_semi").where(F.col("biotype").isin(coding, noncoding))
-    tsl = F.expr("try_cast(nullif(regexp_extract(tsl, '([0-9]+)', 1), '') as int)")
+    tsl = F.expr("try_cast(nullif(regexp_extract(tsl, '^([0-9]+)', 1), '') as int)")
     order = [F.col("mane").isNull(), F.coalesce(F.col("canonical") != "YES", F.lit(True)), tsl.asc_nulls_last(), F.col("feature").asc_nulls_last()]
     return R.keep_first(kept, ["variant", "gene"], order)
 
 
+#: Frequencies that annotation outside transcripts keeps: fixed names.
+FREQUENCIES = ("gnomade_af", "gnomadg_af", "max_af", "max_af_pops")
+
+
 def select_outside(vep: DataFrame, allowed: tuple[str, ...] = OUTSIDE) -> DataFrame:
-    """Variants whose every consequence, in every row, is allowed; consequences as a sorted union; no gene."""
+    """Variants whose every consequence, in every row, is allowed; consequences as a sorted union; no gene.
+
+    Of each frequency column that ``vep`` has, the first known value by
+    consequence counts.  A row without consequence rules its variant out.
+    """
     terms = F.split("consequence", ",")
     ok = F.coalesce(F.size(F.array_except(terms, F.array(*[F.lit(x) for x in allowed]))) == 0, F.lit(False))
-    out = vep.groupBy("variant").agg(F.bool_and(ok).alias("__ok"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(terms)))).alias("__t"))
-    return out.where("__ok").select("variant", F.lit(None).cast("string").alias("gene"), F.array_join("__t", ",").alias("consequence"))
+    own = [c for c in FREQUENCIES if c in vep.columns]
+    firsts = [F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("consequence").alias("o"), F.col(c).alias("v")))).alias(f"__{c}") for c in own]
+    out = vep.groupBy("variant").agg(F.bool_and(ok).alias("__ok"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(terms)))).alias("__t"), *firsts)
+    return out.where("__ok").select("variant", F.lit(None).cast("string").alias("gene"), F.array_join("__t", ",").alias("consequence"), *[F.col(f"__{c}.v").alias(c) for c in own])
 
 
-def downsample(df: DataFrame, negatives: list[str], fraction: float, seed: int) -> DataFrame:
-    """All rows with another label, and all rows of a seeded share of the negative variants of each biotype."""
+def downsample(df: DataFrame, negatives: list[str], fraction: float, seed: int, outside_transcripts: bool = False) -> DataFrame:
+    """All rows with a known other label, and those of a seeded share of the negative variants.
+
+    Each biotype is a stratum, and a negative row stays if its variant was
+    chosen in any; outside transcripts all variants are one stratum, and every
+    row of a variant that is positive or chosen stays.  Elsewhere rows without
+    a label go.
+    """
     low = df.where(F.col("label").isin(negatives))
-    chosen = R.stratified_sample(low.withColumn("__b", F.coalesce("biotype", F.lit(""))), "variant", "__b", fraction, seed).drop("__b")
-    positive = df.where(~F.coalesce(F.col("label").isin(negatives), F.lit(False)))
-    kept = chosen.select("variant").union(positive.select("variant")).distinct()
-    return positive.unionByName(low.join(kept, "variant", "left_semi"))
+    positive = df.where(~F.col("label").isin(negatives))
+    stratum = F.lit("") if outside_transcripts else F.coalesce("biotype", F.lit(""))
+    chosen = R.stratified_sample(low.select("variant", stratum.alias("__b")), "variant", "__b", fraction, seed).select("variant")
+    if outside_transcripts:
+        return df.join(chosen.unionAll(positive.select("variant")).distinct(), "variant", "left_semi")
+    return positive.unionByName(low.join(chosen.distinct(), "variant", "left_semi"))
 
 
 def centered_window(at: Column, contig: Column, width: int) -> dict[str, Column]:
@@ -48,16 +66,24 @@ def centered_window(at: Column, contig: Column, width: int) -> dict[str, Column]
     return {"window_start": start, "target": F.lit(width // 2), "left_pad": F.greatest(F.lit(0), -start), "right_pad": F.greatest(F.lit(0), start + width - contig)}
 
 
-def gene_window(at: Column, gene_start: Column, gene_end: Column, width: int, margin: int) -> tuple[Column, Column]:
-    """Start and kind of a window that holds the whole gene: centered, shifted least, too long, or without a span."""
+def gene_window(at: Column, gene_start: Column, gene_end: Column, width: int, margin: int, contig: Column, same_contig: Column | None = None) -> tuple[Column, Column]:
+    """Start and kind of a window that holds the whole gene, and the margin around the variant.
+
+    The centered window if it does; else, shifted as little as can be, one
+    inside the contig; ``gene_too_long`` without any; ``missing_gene_span``
+    without a gene.  A gene on another contig (``same_contig`` false) raises.
+    """
     centered = at - width // 2
-    low = F.greatest(gene_end - width, at - (width - 1 - margin))
-    high = F.least(gene_start, at - margin)
+    holds = (centered <= gene_start) & (gene_end <= centered + width) & (centered <= at - margin) & (at + 1 + margin <= centered + width)
+    low = F.greatest(gene_end - width, at + 1 + margin - width, F.lit(0))
+    high = F.least(gene_start, at - margin, contig - width)
     kind = (
-        F.when(gene_start.isNull(), "missing_gene_span").when(gene_end - gene_start > width, "gene_too_long").when(low > high, "gene_too_long")
-        .when((centered >= low) & (centered <= high), "centered_full_gene").otherwise("shifted_full_gene")
+        F.when(gene_start.isNull(), "missing_gene_span").when(holds, "centered_full_gene")
+        .when(low > high, "gene_too_long").otherwise("shifted_full_gene")
     )
-    return F.when(kind.isin("centered_full_gene", "shifted_full_gene"), F.least(F.greatest(centered, low), high)), kind
+    if same_contig is not None:
+        kind = F.when(gene_start.isNotNull() & ~same_contig, F.raise_error(F.lit("gene_contig_mismatch")).cast("string")).otherwise(kind)
+    return F.when(kind == "centered_full_gene", centered).when(kind == "shifted_full_gene", F.least(F.greatest(centered, low), high)), kind
 
 
 def extract_window(sequence: Column, start: Column, width: int) -> Column:
@@ -78,11 +104,19 @@ def tile_starts(length: Column, width: int) -> Column:
     return F.when(length <= width, F.array(F.lit(0))).otherwise(F.array_sort(F.array_distinct(F.concat(both, middle))))
 
 
-def edge_weight(offset: Column, length: Column, start: Column, width: int, taper: float = 8.0) -> Column:
-    """Sigmoid weight of a place in a window: falls towards window edges that are not sequence ends."""
-    left = F.when(start == 0, 1.0).otherwise(1 / (1 + F.exp(-(offset - width / 8) / taper)))
-    right = F.when(start + width >= length, 1.0).otherwise(1 / (1 + F.exp(-((width - 1 - offset) - width / 8) / taper)))
-    return F.least(left, right)
+def edge_weight(offset: Column, start: Column, size: Column, length: Column, width: int) -> Column:
+    """Sigmoid weight of a place (from 0) in a window of ``size`` places at ``start``.
+
+    Only the outer quarters fall, and only at edges that are not sequence ends;
+    a window shorter than ``width`` has weight 1 everywhere.
+    """
+    taper, scale = round(((width + 1) // 2) / 2), 20.0 * width / 1022.0
+    if taper == 0:
+        return F.lit(1.0)
+    rising = 1 / (1 + F.exp(-(offset - taper / 2) / scale))
+    falling = 1 / (1 + F.exp((offset - (width - taper) - taper / 2) / scale))
+    inner = F.when((start > 0) & (offset < taper), rising).when((start + size < length) & (offset >= width - taper), falling).otherwise(1.0)
+    return F.when(size < width, 1.0).otherwise(inner)
 
 
 def splice_track(lengths: Column) -> Column:

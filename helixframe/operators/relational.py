@@ -157,3 +157,93 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, fraction: float, se
     w = Window.partitionBy(stratum)
     ranked = keys.withColumn("__r", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), key), key))).withColumn("__n", F.count("*").over(w))
     return df.join(ranked.where(F.col("__r") <= F.floor(F.col("__n") * fraction)).select(stratum, key), [stratum, key], "left_semi")
+
+
+def asof_bounded(left: DataFrame, right: DataFrame, by: str, at: str, start: str, end: str, values: Sequence[str]) -> DataFrame:
+    """Each left row with the values of the last interval that starts at or before it, if it ends after it."""
+    out = asof_backward(left, right, by, at, start, [end, *values])
+    inside = F.col(at) < F.col(end)
+    return out.select(*left.columns, *[F.when(inside, F.col(v)).alias(v) for v in values])
+
+
+def first_offenders(df: DataFrame, bad: Column, keys: Sequence[str], code: str, shown: int = 5) -> DataFrame:
+    """``df``, if no row is bad; else an error with the code, the count and the first offenders by key."""
+    found = df.where(bad)
+    n = found.count()
+    if n:
+        some = [tuple(r) for r in found.select(*keys).orderBy(*keys).limit(shown).collect()]
+        raise ValueError(f"{code}: {n}: {some}")
+    return df
+
+
+def conflict_to_null(df: DataFrame, keys: Sequence[str], values: Sequence[str], sets: Sequence[str] = ()) -> DataFrame:
+    """One row for each key: a value if all rows that know it agree, else null; arrays of ``sets`` as sorted unions."""
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
+    return df.groupBy(*keys).agg(*[one(c) for c in values], *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in sets])
+
+
+def hstack(a: DataFrame, b: DataFrame, order_a: Sequence[Column], order_b: Sequence[Column]) -> DataFrame:
+    """Rows of two frames side by side by position in their own orders; unequal lengths raise."""
+    if a.count() != b.count():
+        raise ValueError("length_mismatch")
+    return rank_globally(a, order_a).join(rank_globally(b, order_b), "__rank").drop("__rank")
+
+
+def every_nth(df: DataFrame, order: Sequence[Column], n: int, i: int = 0) -> DataFrame:
+    """Rows i, i + n, i + 2n, ... of an order."""
+    return rank_globally(df, order).where(F.col("__rank") % n == i).drop("__rank")
+
+
+def shard_modulo(df: DataFrame, key: str, shards: int) -> DataFrame:
+    """``shard``: the place of a row's key among the distinct keys, modulo; all rows of a key stay together."""
+    ranked = rank_globally(df.select(key).distinct(), [F.col(key)])
+    return df.join(ranked.select(key, (F.col("__rank") % shards).cast("int").alias("shard")), key)
+
+
+def batches(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
+    """``batch``, from 0: consecutive rows of an order, ``size`` at a time."""
+    return rank_globally(df, order).withColumn("batch", F.floor(F.col("__rank") / size)).drop("__rank")
+
+
+def check_shards(df: DataFrame, shard: str, key: str, shards: int) -> DataFrame:
+    """``df``, if every shard has rows and no key is in two of them or twice in one."""
+    seen = {r[0] for r in df.select(shard).distinct().limit(shards + 1).collect()}
+    if seen != set(range(shards)):
+        raise ValueError(f"incomplete_shards: {sorted(set(range(shards)) - seen)}")
+    return assert_unique(df, [key], "duplicate_in_shards")
+
+
+def split(df: DataFrame, kept: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that meet a condition, and all others (null counts as not met)."""
+    ok = F.coalesce(kept, F.lit(False))
+    return df.where(ok), df.where(~ok)
+
+
+def parts_by(df: DataFrame, column: str, limit: int = 1000) -> dict[object, DataFrame]:
+    """A frame for each value of a column; more than ``limit`` values raise."""
+    values = sorted((r[0] for r in df.select(column).distinct().limit(limit + 1).collect()), key=lambda v: (v is None, v))
+    if len(values) > limit:
+        raise ValueError(f"too_many_parts: over {limit}")
+    return {v: df.where(F.col(column).eqNullSafe(F.lit(v))) for v in values}
+
+
+def suffixed_join(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: str = "_right", how: str = "inner") -> DataFrame:
+    """A join whose clashing right columns get a suffix."""
+    clash = {c: f"{c}{suffix}" for c in right.columns if c in left.columns and c not in on}
+    return left.join(right.withColumnsRenamed(clash), list(on), how)
+
+
+def pair_differences(values: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str], name: str, value: str) -> DataFrame:
+    """keys, x, y, d: for each pair of names the second value minus the first, at equal keys."""
+    table = F.broadcast(values.sparkSession.createDataFrame(list(pairs), "x string, y string"))
+    first = values.select(*keys, F.col(name).alias("x"), F.col(value).alias("__a"))
+    second = values.select(*keys, F.col(name).alias("y"), F.col(value).alias("__b"))
+    return first.join(table, "x").join(second, [*keys, "y"]).select(*keys, "x", "y", (F.col("__b") - F.col("__a")).alias("d"))
+
+
+def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """``n`` rows (of each group), chosen by a seeded hash of their keys, so in any order of rows the same ones."""
+    dice = [F.xxhash64(F.lit(seed), *keys), *[F.col(k) for k in keys]]
+    if not by:
+        return df.orderBy(*dice).limit(n)
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*dice))).where(F.col("__r") <= n).drop("__r")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import rank_globally
+
 
 def roc_and_precision(df: DataFrame, groups: Sequence[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
     """``auroc`` (ties count one half) and ``average_precision`` (ties are one threshold) of each group.
@@ -66,27 +68,78 @@ def binned_rates(df: DataFrame, x: str, y: str, label: str, bins: int = 5) -> Da
     return out.withColumnsRenamed({str(i): f"q{i}" for i in range(1, bins + 1)})
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, score: str, label: str, draws: int, seed: int = 42) -> DataFrame:
-    """draw, auroc, average_precision under resampling of whole clusters.
+def bootstrap_weights(df: DataFrame, cluster: str, jobs: int = 8, draws: int = 100, seed: int = 42) -> DataFrame:
+    """draw, <cluster>, __m: how often each draw takes a cluster; clusters that a draw misses have no row.
 
-    Clusters get dense codes; each draw takes as many clusters as there are, with
-    replacement, from NumPy's ``RandomState(seed + draw)``, and every row inherits
-    its cluster's multiplicity.
+    Clusters get dense codes in their order.  Job ``j`` makes ``draws`` draws in
+    turn from NumPy's ``RandomState(seed + j)``, each of as many clusters as
+    there are, with replacement; draws are numbered through all jobs.
     """
-    spark = df.sparkSession
-    codes = df.select(cluster).distinct().withColumn("__code", F.dense_rank().over(Window.orderBy(cluster)) - 1)
+    codes = rank_globally(df.select(cluster).where(F.col(cluster).isNotNull()).distinct(), [F.col(cluster)]).withColumnRenamed("__rank", "__code")
     n = codes.count()
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for d in batch["id"].tolist():
-                count = np.bincount(np.random.RandomState(seed + d).randint(0, n, n), minlength=n)
-                hit = np.flatnonzero(count)
-                yield pd.DataFrame({"draw": np.full(len(hit), d), "__code": hit, "__m": count[hit]})
+            for job in batch["id"].tolist():
+                rng = np.random.RandomState(seed + job)
+                for d in range(draws if n else 0):
+                    count = np.bincount(rng.randint(n, size=n), minlength=n)
+                    hit = np.flatnonzero(count)
+                    yield pd.DataFrame({"draw": np.full(len(hit), job * draws + d), "__code": hit, "__m": count[hit]})
+
+    weights = df.sparkSession.range(0, jobs, 1, jobs).mapInPandas(draw, "draw long, __code long, __m long")
+    return weights.join(codes, "__code").select("draw", cluster, "__m")
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, scores: Sequence[str] | str, label: str, jobs: int = 8, draws: int = 100, seed: int = 42, groups: Sequence[str] = ()) -> DataFrame:
+    """draw, groups, model, auroc, average_precision of each score column under resampling of whole clusters.
+
+    All scores share a draw's multiplicities, so that differences are paired;
+    every row inherits its cluster's.
+    """
+    names = [scores] if isinstance(scores, str) else list(scores)
+    long = df.select(cluster, label, *groups, F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).cast("double").alias("__score")) for n in names])).alias("__e")).select(cluster, label, *groups, "__e.*")
+    rows = long.join(bootstrap_weights(df, cluster, jobs, draws, seed), cluster)
+    return roc_and_precision(rows, ["draw", *groups, "model"], "__score", label, F.col("__m"))
+
+
+def paired_differences(metrics: DataFrame, reference: str, others: Sequence[str], keys: Sequence[str] = ("draw",)) -> DataFrame:
+    """keys, model, and for either measure the difference to ``reference`` in the same draw, plain and in percent of it."""
+    measures = ("auroc", "average_precision")
+    base = metrics.where(F.col("model") == reference).select(*keys, *[F.col(m).alias(f"__{m}") for m in measures])
+    out = metrics.where(F.col("model").isin(list(others))).join(base, list(keys))
+    return out.select(*keys, "model", *[x for m in measures for x in ((F.col(m) - F.col(f"__{m}")).alias(m), F.try_divide(100 * (F.col(m) - F.col(f"__{m}")), F.col(f"__{m}")).alias(f"{m}_pct"))])
+
+
+def percentile_interval(df: DataFrame, groups: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
+    """``low``, ``mid`` and ``high``: the median and the interval of a level, linearly interpolated."""
+    q = F.percentile(value, [(1 - level) / 2, 0.5, (1 + level) / 2])
+    return df.groupBy(*groups).agg(q.alias("__q")).select(*groups, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(("low", "mid", "high"))])
+
 
-    weights = spark.range(draws).mapInPandas(draw, "draw long, __code long, __m long")
-    rows = df.select(cluster, score, label).join(codes, cluster).join(weights, "__code")
-    return roc_and_precision(rows, ["draw"], score, label, F.col("__m"))
+def summarize_folds(folds: DataFrame, groups: Sequence[str], size: str, metrics: Sequence[str]) -> DataFrame:
+    """Folds, summed size, and mean and sample deviation of each metric over the folds."""
+    return folds.groupBy(*groups).agg(F.count("*").alias("folds"), F.sum(size).alias(size), *[x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_sd"))])
+
+
+def negative_z(df: DataFrame, score: str, label: str, name: str) -> DataFrame:
+    """``name``: the score, in deviations from the mean of the rows with label 0."""
+    one = df.where(F.col(label) == 0).agg(F.avg(score).alias("__mean"), F.stddev_samp(score).alias("__sd"))
+    return df.crossJoin(F.broadcast(one)).withColumn(name, F.try_divide(F.col(score) - F.col("__mean"), F.col("__sd"))).drop("__mean", "__sd")
+
+
+def tails(df: DataFrame, value: str, name: str = "tail") -> DataFrame:
+    """Rows at or below the nearest first quartile (``low``, which wins ties) or at or above the third (``high``)."""
+    cuts = quantile_nearest(df, [], value, 0.25, "__low").crossJoin(quantile_nearest(df, [], value, 0.75, "__high"))
+    kind = F.when(F.col(value) <= F.col("__low"), "low").when(F.col(value) >= F.col("__high"), "high")
+    return df.crossJoin(F.broadcast(cuts)).withColumn(name, kind).drop("__low", "__high").where(F.col(name).isNotNull())
+
+
+def weighted_means(rows: DataFrame, keys: Sequence[str], values: str, weight: str) -> DataFrame:
+    """keys and ``values``: the mean, normalised by weight, of each place of an array column."""
+    flat = rows.select(*keys, weight, F.posexplode(values).alias("__i", "__v"))
+    one = flat.groupBy(*keys, "__i").agg(F.try_divide(F.sum(F.col("__v") * F.col(weight)), F.sum(F.when(F.col("__v").isNotNull(), F.col(weight)))).alias("__v"))
+    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]).alias(values))
 
 
 def chromosome_folds(counts: list[tuple[str, int, int]], folds: int = 5) -> dict[str, int]:
@@ -128,3 +181,16 @@ def sample_tail(df: DataFrame, chromosome: str, site: str, cap: int, seed: int)
     picked = df.sparkSession.createDataFrame(chosen, f"{chromosome} string, __r int")
     ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(chromosome).orderBy(site)) - 1)
     return ranked.join(picked, [chromosome, "__r"], "left_semi").drop("__r").orderBy(site)
+
+
+def correlation_matrix(df: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> DataFrame:
+    """x, y, r: Pearson's correlation of every x with every y, over rows that know both, in one pass."""
+    pairs = [(x, y) for x in xs for y in ys]
+    one = df.agg(*[F.corr(x, y).alias(f"r{i}") for i, (x, y) in enumerate(pairs)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{i}").alias("r")) for i, (x, y) in enumerate(pairs)])).alias("e")).select("e.*")
+
+
+def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """bin, n: rows in ``bins`` equal parts of [low, high]; the upper end belongs to the last part."""
+    at = F.least(F.lit(bins - 1), F.floor((F.col(value) - low) * bins / (high - low))).cast("int")
+    return df.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))

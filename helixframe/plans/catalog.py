@@ -13,24 +13,9 @@ from ..functions import columns as C
 from ..operators import genomics as G
 from ..operators import relational as R
 from ..operators import statistics as S
+from .registered import ORACLE_SQL, QUERIES, query
 
 FLAGSHIP = "sta01_auroc"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a function of (t, spark), where t reads a table by name."""
-
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 @query("prj05_labels", "SELECT o_orderkey, CASE WHEN o_totalprice >= 200000 THEN 'high' WHEN o_totalprice <= 50000 THEN 'low' END AS label FROM orders")
 def _(t):
     return t("orders").select("o_orderkey", F.when(F.col("o_totalprice") >= 200000, "high").when(F.col("o_totalprice") <= 50000, "low").alias("label"))
@@ -335,7 +320,7 @@ def _(t):
 
 @query("sta06_bootstrap")
 def _(t):
-    return S.cluster_bootstrap(_scored(t), "lang", "s", "quality", 100)
+    return S.cluster_bootstrap(_scored(t), "doc_id", "s", "quality", jobs=8, draws=12)
 
 
 @query("sta21_binned_rates", """WITH q AS (SELECT quantile_cont(p_retailprice, [0.2, 0.4, 0.6, 0.8]) AS c FROM part)
@@ -373,3 +358,6 @@ def _(t):
     text = F.coalesce("text", F.lit(""))
     start = (F.floor(F.length(text) * (F.col("doc_id") % 5) / 4) - 8).cast("int")
     return t("documents").select("doc_id", G.extract_window(text, start, 16).alias("s"))
+
+
+from . import domain, rows  # noqa: E402,F401  they register further queries

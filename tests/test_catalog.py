@@ -48,9 +48,10 @@ def test_bootstrap_equals_resampling(spark):
 
     codes, y, s = [0, 1, 0, 2, 1, 2, 2], [0, 0, 1, 0, 1, 1, 0], [0.1, 0.4, 0.4, 0.2, 0.9, 0.3, 0.3]
     df = spark.createDataFrame([(f"v{c}", a, b) for c, a, b in zip(codes, y, s)], "v string, y int, s double")
-    got = {r["draw"]: r for r in S.cluster_bootstrap(df, "v", "s", "y", 6).collect()}
+    got = {r["draw"]: r for r in S.cluster_bootstrap(df, "v", "s", "y", jobs=2, draws=3).collect()}
+    streams = [np.random.RandomState(42), np.random.RandomState(43)]  # each job draws three times in turn
     for d in range(6):
-        m = np.bincount(np.random.RandomState(42 + d).randint(0, 3, 3), minlength=3)[codes]
+        m = np.bincount(streams[d // 3].randint(3, size=3), minlength=3)[codes]
         yy, ss = np.repeat(y, m), np.repeat(s, m)
         pos, neg = ss[yy == 1], ss[yy == 0]
         if len(pos) and len(neg):
