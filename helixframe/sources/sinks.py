@@ -37,3 +37,48 @@ def verify_written(written: DataFrame, expected: DataFrame) -> None:
     left, right = written.exceptAll(expected).limit(5).collect(), expected.exceptAll(written).limit(5).collect()
     if left or right:
         raise ValueError(f"value_mismatch: {left} {right}")
+
+
+def write_fasta(df: DataFrame, path: str, width: int = 80, compression: str | None = None) -> None:
+    """A folder with one FASTA file, records in the order of their ids."""
+    fasta_lines(df, width).orderBy("id").select("value").coalesce(1).write.mode("overwrite").text(path, compression=compression)
+
+
+def write_rsids(df: DataFrame, path: str) -> None:
+    """Only the variants named by rs numbers, one a line, without header."""
+    write_tsv(df.where(F.col("variant").rlike("^rs[0-9]+$")).select("variant").distinct(), path, ["variant"], header=False)
+
+
+def write_scores(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str]) -> int:
+    """A score table of exactly ``columns``; gives the number of rows.  Scores that are not finite raise before anything is written."""
+    from ..functions.columns import finite
+    from ..operators.relational import first_offenders
+
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing_columns: {missing}")
+    doubles = [c for c in columns if df.schema[c].dataType.typeName() in ("double", "float")]
+    bad = F.lit(False)
+    for c in doubles:
+        bad = bad | (F.col(c).isNotNull() & ~finite(F.col(c)))
+    out = first_offenders(df.select(*columns), bad, list(order), "score_not_finite")
+    write_tsv(out, path, order)
+    return out.count()
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Side tables as Parquet, one folder a name; all plans are analysed before the first is written."""
+    plans = [(name, df, df.schema) for name, df in tables.items()]
+    for name, df, _ in plans:
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def verify_order(written: DataFrame, order: Sequence[str]) -> None:
+    """ValueError if a one-file table is not in the order of its keys."""
+    from pyspark.sql import Window
+
+    key = F.struct(*order)
+    one = written.select(key.alias("k"), F.monotonically_increasing_id().alias("i"))
+    lagged = one.select(F.lag("k").over(Window.orderBy("i")).alias("before"), "k").where(F.col("before") > F.col("k")).limit(1).collect()
+    if lagged:
+        raise ValueError(f"key_order_mismatch: {lagged[0]['k']}")

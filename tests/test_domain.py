@@ -172,3 +172,67 @@ def test_files(spark, tmp_path):
     sinks.verify_written(back, df)
     with pytest.raises(ValueError, match="unexpected_header"):
         files.read_score_table(spark, str(tmp_path / "vep.txt"), ["a"])
+
+
+def test_more_readers(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    with pytest.raises(ValueError, match="missing_columns"):
+        files.read_selected(spark, put("sel.tsv", "variant\tstart\nv\t1\n"))
+    vep = files.read_vep_extra(spark, put("x.txt", "##n\n#Uploaded_variation\tExtra\nv1\tA=1;FLAG\nv2\tB=x;B=y\nv3\t-\n"))
+    assert vep.columns == ["variant", "A", "B", "FLAG"] and sorted(map(tuple, vep.collect())) == [("v1", "1", None, "true"), ("v2", None, "y", None), ("v3", None, None, None)]
+    bed = files.read_bed_with_names(spark, put("a.bed", "chr1\t5\t6\n"), put("a.cols", "chromosome\nstart\nend\n"), {"start": "int"})
+    assert tuple(bed.first()) == ("chr1", 5, "6")
+    assert tuple(files.read_rsid_map(spark, put("m.tsv", "chr1\t5\t6\trs1\tA\textra\n")).first()) == ("chr1", 5, 6, "rs1", "A")
+    assert tuple(files.read_columns(spark, put("s.tsv", "a\tb\tc\nx\t1.5\t2\n"), {"a": "variant", "b": "score"}, ["score"]).first()) == ("x", -1.5)
+    vcf = put("r.vcf", "##x\n#CHROM\tPOS\nchr1\t10\t.\tA\tC\t.\t.\tMR=0.5;AR=x\nchr1\t11\t.\tA\tG\t.\t.\tMR=1\n")
+    at = spark.createDataFrame([("chr1", 9)], "chrom string, start int")
+    assert [tuple(r) for r in files.read_info_values(spark, vcf, ["MR", "AR"], at).collect()] == [("chr1", 9, "A", "C", 0.5, None)]
+    fasta = put("t.fa", ">T1.2|x\nACGU\n>T1.2|x\nacgu\n>T2.1\nGG\n>T3\nAA\n>T3\nCC\n")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert sorted(map(tuple, files.read_required_fasta(spark, fasta, ids("T1", "T2")).collect())) == [("T1", "ACGT"), ("T2", "GG")]
+    for x, code in (("T3", "conflicting_sequence"), ("T9", "missing_sequence")):
+        with pytest.raises(ValueError, match=code):
+            files.read_required_fasta(spark, fasta, ids(x))
+    assert [tuple(r) for r in files.read_protein_fasta(spark, put("p.fa", ">ENSP1.1|ENST7.3|ENSG1\nMKL\nV\n")).collect()] == [("ENST7", "MKLV")]
+    head = "#Uploaded_variation\tgene\tchromosome\tstart\tend\tref\talt\n"
+    got = files.read_dna_candidates(spark, put("d.tsv", head + "v1\tG1.4\tchr1\t5\t6\ta\tc\nv2\t-\tchr1\t7\t8\tA\t-\n")).orderBy("input_index").collect()
+    assert [(r["variant"], r["gene"], r["start"], r["ref"], r["alt"], r["input_index"]) for r in got] == [("v1", "G1", 5, "A", "C", 0), ("v2", "", 7, "A", "", 1)]
+    for row, code in (("v1\tG\t\t5\t6\tA\tC\n", "missing_value"), ("v1\tG\tchr1\t5x\t6\tA\tC\n", "invalid_coordinate")):
+        with pytest.raises(ValueError, match=code):
+            files.read_dna_candidates(spark, put("d2.tsv", head + row))
+    gff = "##g\nchr1\tx\tmRNA\t1\t9\t.\t+\t.\tID=transcript:T1.1;Parent=gene:G1.2\nchr1\tx\texon\t1\t9\t.\t+\t.\tParent=transcript:T1.1\nchr1\tx\tCDS\tbad\t9\t.\t+\t.\tParent=transcript:T1.1\n"
+    assert sorted((r["type"], r["transcript"], r["start"], r["end"]) for r in files.read_gff3(spark, put("g.gff3", gff), coding=False).collect()) == [("exon", "T1", 0, 9), ("mRNA", "T1", 0, 9)]
+    with pytest.raises(ValueError, match="invalid_gff3_coordinate"):
+        files.read_gff3(spark, put("g.gff3", gff))
+    prot = files.read_protein_candidates(spark, put("q.tsv", "variant\tfeature\tbiotype\tconsequence\tprotein_position\tamino_acids\nv\tENST1.2\tprotein_coding\tmissense_variant,x\t7\tK/M\nw\tENST1.2\tlncRNA\tmissense_variant\t7\tK/M\n"))
+    assert [tuple(r) for r in prot.collect()] == [("v", "ENST1", 7, "K", "M")]
+    kept, why = files.with_rejections(spark.createDataFrame([(1,), (2,), (3,), (None,)], "x int"), {"null": F.col("x").isNull(), "big": F.col("x") > 1, "odd": F.col("x") == 3})
+    assert [r[0] for r in kept.collect()] == [1] and {r[0]: r[1] for r in why.collect()} == {"null": 1, "big": 2}
+    (tmp_path / "logs").mkdir()
+    put("logs/a.log", "start model=evo n=5\nelapsed=1:02:03 rss=77\n")
+    got = {r["key"]: r["value"] for r in files.read_log_values(spark, str(tmp_path / "logs")).collect()}
+    assert got == {"model": "evo", "n": "5", "elapsed": "1:02:03", "rss": "77"}
+    assert spark.range(1).select(files.elapsed_seconds(F.lit("1:02:03"))).first()[0] == 3723
+
+
+def test_more_writers(spark, tmp_path):
+    seqs = spark.createDataFrame([("b", "ACGTA"), ("a", "GG")], "id string, sequence string")
+    sinks.write_fasta(seqs, str(tmp_path / "f"), 3, "gzip")
+    assert sorted(map(tuple, files.read_fasta(spark, str(tmp_path / "f")).collect())) == [("a", "GG"), ("b", "ACGTA")]
+    v = spark.createDataFrame([("rs9",), ("rs2",), ("1:5",), ("rs2",)], "variant string")
+    sinks.write_rsids(v, str(tmp_path / "r"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "r")).collect()] == ["rs2", "rs9"]
+    s = spark.createDataFrame([("b", 1.5), ("a", None)], "variant string, score double")
+    assert sinks.write_scores(s, str(tmp_path / "s"), ["variant", "score"], ["variant"]) == 2
+    back = files.read_score_table(spark, str(tmp_path / "s"), ["variant", "score"])
+    sinks.verify_order(back, ["variant"])
+    with pytest.raises(ValueError, match="key_order_mismatch"):
+        sinks.verify_order(s.coalesce(1), ["variant"])
+    with pytest.raises(ValueError, match="score_not_finite"):
+        sinks.write_scores(s.withColumn("score", F.lit(float("nan"))), str(tmp_path / "n"), ["variant", "score"], ["variant"])
+    assert not (tmp_path / "n").exists()  # nothing is written on failure
+    sinks.write_tables({"folds": s, "sizes": v}, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t/folds.parquet")).count() == 2
