@@ -159,3 +159,74 @@ def covered_mean(intervals: DataFrame, track: DataFrame, key: str, span: tuple[s
     base = intervals.groupBy(*ids).agg(F.sum(size).alias("__size"))
     covered = F.coalesce("covered", F.lit(0))
     return base.join(one, list(ids), "left").select(*ids, covered.cast("long").alias("covered"), F.try_divide(covered, F.col("__size")).alias("fraction"), F.try_divide("__s", "covered").alias("mean"))
+
+
+def select_cohorts(rows: DataFrame, shared: str, keys: Sequence[str], cohorts: Mapping[str, Column]) -> DataFrame:
+    """One row for each cohort and site (chromosome, start): shared rows first, then by keys; with ``cohort`` and ``site_id``."""
+    site = F.concat_ws(":", "chromosome", (F.col("start") + 1).cast("string"))
+    tagged = rows.withColumn("cohort", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in cohorts.items()])))).withColumn("site_id", site)
+    return R.keep_first(tagged, ["cohort", "site_id"], [F.coalesce(F.col(shared), F.lit(False)).desc(), *[R.nulls_last(k) for k in keys]])
+
+
+def silent_variants(vep: DataFrame, silent: Sequence[str]) -> DataFrame:
+    """Variants whose every consequence, in every row, is among ``silent``."""
+    return G.select_outside(vep, tuple(silent)).select("variant")
+
+
+def annotate(variants: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``variants`` with values of a table that has each key once (null where absent); rows and their number stay."""
+    return R.validated_join(variants, table.select(*keys, *values), list(keys), "left", "m:1")
+
+
+def annotation_coverage(rows: DataFrame, by: str, values: Sequence[str]) -> DataFrame:
+    """by, rows, and for each value the rows that know it."""
+    return rows.groupBy(by).agg(F.count("*").alias("rows"), *[F.count(v).alias(v) for v in values])
+
+
+def collate_shards(shards: Sequence[DataFrame], expected: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
+    """All shards in order, if together they have exactly the keys of ``expected``, each once."""
+    out = None
+    for s in shards:
+        out = s if out is None else out.unionByName(s)
+    R.assert_unique(out, [key], "duplicate_across_shards")
+    odd = R.key_set_difference(out.select(key), expected.select(key), [key]).orderBy(key).limit(5).collect()
+    if odd:
+        raise ValueError(f"key_mismatch: {[(r['side'], r[key]) for r in odd]}")
+    return out.orderBy(*order)
+
+
+def check_folds(rows: DataFrame, fold: str, chromosome: str, folds: int = 5) -> DataFrame:
+    """``rows``, if all folds are there and each chromosome is in one."""
+    seen = sorted(r[0] for r in rows.select(fold).distinct().limit(folds + 2).collect())
+    if seen != list(range(folds)):
+        raise ValueError(f"wrong_folds: {seen}")
+    return R.first_offenders(rows.groupBy(chromosome).agg(F.count_distinct(fold).alias("n")), F.col("n") > 1, [chromosome], "chromosome_in_two_folds") and rows
+
+
+def check_vectors(rows: DataFrame, vector: str, keys: Sequence[str], size: int) -> DataFrame:
+    """``rows``, if every vector has ``size`` finite numbers and every key occurs once."""
+    ok = (F.size(vector) == size) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return R.assert_unique(R.first_offenders(rows, ~F.coalesce(ok, F.lit(False)), list(keys), "broken_vector"), list(keys), "duplicate_vector")
+
+
+def check_unchanged(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``after``, if it has the rows of ``before``, with multiplicity, in ``columns``."""
+    left, right = before.select(*columns), after.select(*columns)
+    if not left.exceptAll(right).isEmpty() or not right.exceptAll(left).isEmpty():
+        raise ValueError("rows_changed")
+    return after
+
+
+def merge_evaluations(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Saved evaluations as one table; a key in two of them raises."""
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+    return R.assert_unique(out, list(keys), "duplicate_evaluation")
+
+
+def comparison_table(metrics: DataFrame, names: Mapping[str, str], columns: Sequence[str], by: str) -> DataFrame:
+    """Models under their shown names, the best first, names as tie-break."""
+    from ..functions.columns import replace_strict
+
+    return metrics.withColumn("model", replace_strict(F.col("model"), names)).select("model", *columns).orderBy(F.col(by).desc_nulls_last(), "model")

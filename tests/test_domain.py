@@ -236,3 +236,74 @@ def test_more_writers(spark, tmp_path):
     assert not (tmp_path / "n").exists()  # nothing is written on failure
     sinks.write_tables({"folds": s, "sizes": v}, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t/folds.parquet")).count() == 2
+
+
+def test_cohorts_folds_vectors_and_shards(spark):
+    rows = spark.createDataFrame([("chr1", 4, "v2", False, "a"), ("chr1", 4, "v1", False, "a"), ("chr1", 4, "v9", True, "b"), ("chr2", 5, "v3", None, "b")], "chromosome string, start int, variant string, shared boolean, kind string")
+    got = U.select_cohorts(rows, "shared", ["variant"], {"all": F.lit(True), "only_a": F.col("kind") == "a"})
+    assert sorted((r["cohort"], r["site_id"], r["variant"]) for r in got.collect()) == [("all", "chr1:5", "v9"), ("all", "chr2:6", "v3"), ("only_a", "chr1:5", "v1")]
+    assert [r[0] for r in U.silent_variants(spark.createDataFrame([("a", "x,y"), ("a", "x"), ("b", "x"), ("b", "z")], "variant string, consequence string"), ["x", "y"]).collect()] == ["a"]
+    folds = spark.createDataFrame([(f"chr{i}", i % 5) for i in range(1, 11)], "chromosome string, fold int")
+    assert U.check_folds(folds, "fold", "chromosome").count() == 10
+    with pytest.raises(ValueError, match="chromosome_in_two_folds"):
+        U.check_folds(folds.unionAll(folds.withColumn("fold", (F.col("fold") + 1) % 5)), "fold", "chromosome")
+    with pytest.raises(ValueError, match="wrong_folds"):
+        U.check_folds(folds.where("fold > 0"), "fold", "chromosome")
+    vec = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, float("nan")])], "k int, v array<double>")
+    assert U.check_vectors(vec.where("k = 1"), "v", ["k"], 2).count() == 1
+    for bad, code in ((vec, "broken_vector"), (vec.where("k = 1").unionAll(vec.where("k = 1")), "duplicate_vector")):
+        with pytest.raises(ValueError, match=code):
+            U.check_vectors(bad, "v", ["k"], 2)
+    a, b = spark.createDataFrame([(2, 0.5)], "k int, s double"), spark.createDataFrame([(1, 0.25)], "k int, s double")
+    want = spark.createDataFrame([(1,), (2,)], "k int")
+    assert [r["k"] for r in U.collate_shards([a, b], want, "k", ["k"]).collect()] == [1, 2]
+    for parts, code in (([a], "key_mismatch"), ([a, a, b], "duplicate_across_shards")):
+        with pytest.raises(ValueError, match=code):
+            U.collate_shards(parts, want, "k", ["k"])
+    with pytest.raises(ValueError, match="rows_changed"):
+        U.check_unchanged(a, b, ["k"])
+    shown = U.comparison_table(spark.createDataFrame([("m", 0.5), ("n", 0.75)], "model string, auroc double"), {"m": "M", "n": "N"}, ["auroc"], "auroc")
+    assert [tuple(r) for r in shown.collect()] == [("N", 0.75), ("M", 0.5)]
+
+
+def test_scorers(spark):
+    import pandas as pd
+
+    from helixframe.operators import scoring as O
+
+    df = spark.createDataFrame([(i, "ACGT"[: 1 + i % 4]) for i in range(20)], "k int, s string").repartition(3)
+
+    def factory():
+        return lambda frame: pd.DataFrame({"n": frame["s"].str.len()})
+
+    got = O.score_batches(df, factory, ["k"], "n long", batch=3, by_length="s")
+    assert sorted((r["k"], r["n"]) for r in got.collect()) == [(i, 1 + i % 4) for i in range(20)]
+    with pytest.raises(Exception, match="score_count_mismatch"):
+        O.score_batches(df, lambda: lambda frame: pd.DataFrame({"n": [1]}), ["k"], "n long").collect()
+    two = O.both_strands(spark.createDataFrame([("AACG", 1)], "s string, t int"), "s", "t").collect()
+    assert [(r["strand"], r["s"], r["t"]) for r in two] == [("+", "AACG", 1), ("-", "CGTT", 2)]
+    one = spark.range(1)
+    assert one.select(O.mean_log_likelihood(F.array(F.lit(-1.0), F.lit(None).cast("double"), F.lit(-2.0)))).first()[0] == -1.5
+    assert abs(sum(2.718281828459045**x for x in one.select(O.log_softmax(F.array(F.lit(0.5), F.lit(-2.0), F.lit(3.0)))).first()[0]) - 1) < 1e-12
+    assert one.select(O.tokens(F.lit("ACX"), {"A": 5, "C": 6}, 3, cls=1, eos=2, mask=4, target=F.lit(1))).first()[0] == [1, 5, 4, 3, 2]
+
+
+def test_command_line(spark, tmp_path):
+    from helixframe import __main__ as cli
+
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    for bad in (["curate", "--vep", "a", "--selected", "b", "--output-prefix", "c", "--neg-fraction", "2"], ["windows", "--candidates", "a", "--fasta", "b", "--output", "c", "--window-length", "100"], []):
+        with pytest.raises(SystemExit):
+            cli.checked(bad)
+    selected = put("s.tsv", "variant\tchromosome\tstart\tend\tref\talt\tpip\tlabel\nv1\tchr2\t5\t6\tA\tC\t0.9\thigh_pip\nv2\tchr1\t5\t6\tA\tC\t0.01\tlow_pip\n")
+    vep = put("v.txt", "##x\n#Uploaded_variation\tGene\tFeature\tConsequence\tBIOTYPE\tMANE\tCANONICAL\tTSL\nv1\tG\tT1\tmissense_variant\tprotein_coding\t-\tYES\t1\nv2\tG\tT1\tmissense_variant\tprotein_coding\t-\tYES\t1\n")
+    cli.run(spark, cli.checked(["curate", "--vep", vep, "--selected", selected, "--output-prefix", str(tmp_path / "out"), "--neg-fraction", "0"]))
+    assert [r["variant"] for r in files.read_tsv(spark, str(tmp_path / "out.tsv")).collect()] == ["v2", "v1"]
+    assert [r["variant"] for r in files.read_tsv(spark, str(tmp_path / "out.downsampled.tsv")).collect()] == ["v1"]
+    fasta = put("g.fa", ">chr1\n" + "ACGT" * 100 + "\n")
+    cand = put("c.tsv", "variant\tchromosome\tstart\tend\tref\talt\nw\t1\t8\t9\tA\tC\n")
+    cli.run(spark, cli.checked(["windows", "--candidates", cand, "--fasta", fasta, "--output", str(tmp_path / "w"), "--window-length", "128", "--min-variant-margin", "8"]))
+    assert spark.read.parquet(str(tmp_path / "w/contexts.parquet")).first()["sequence"] == "N" * 56 + "ACGT" * 18
