@@ -107,7 +107,8 @@ def scan(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     # Verify: compare the words themselves, once for each distinct text.
     texts = docs.select(*_key(), "text").join(small(spots.select("__t1", "__t2"), 32), ["__t1", "__t2"], "left_semi")
     texts = texts.groupBy("__t1", "__t2").agg(F.first("text").alias("text")).join(spots, ["__t1", "__t2"])
-    seen = texts.select("__t1", "__t2", words().alias("__words"), "__spots")
+    # A table, so that a text is split once and not again for each of its hits.
+    seen = cut(texts.select("__t1", "__t2", words().alias("__words"), "__spots"))
     seen = seen.withColumn("__x", F.transform("__spots", lambda x: F.struct(x["__s"].alias("s"), x["__l"].alias("l"), x["__h"].alias("h"), F.slice("__words", x["__s"] + 1, x["__l"]).alias("g"))))
     seen = seen.select("__t1", "__t2", F.explode("__x").alias("__x")).select("__t1", "__t2", "__x.*")
     by_gram = cut(grams.groupBy("__len", "__hash", "__gram").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("__items")))
