@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 #: Upper bound, in bytes, of anything that an operator broadcasts.  A side whose
 #: counted rows could exceed it is shuffled instead.
 BROADCAST_BYTES = 32 << 20
+#: Characters of the texts that a worker has in hand at once, unless one text has more.
+PIECE_CHARS = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,20 @@ def give_back() -> None:
         pass
 
 
+def pieces(texts: Iterable[str | None], rows: int, chars: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds (from, to) of runs of at most ``rows`` texts and, where that is more than one text, ``chars`` characters."""
+    lo = hi = total = 0
+    for hi, text in enumerate(texts):
+        n = len(text) if isinstance(text, str) else 0
+        if hi > lo and (hi - lo >= rows or total + n > chars):
+            yield lo, hi
+            lo, total = hi, 0
+        total += n
+        hi += 1
+    if lo < hi:
+        yield lo, hi
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else unchanged.
 

@@ -51,7 +51,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, free_shuffles, give_back, read, small, text_of
+from .common import cut, drop, free_shuffles, give_back, pieces, read, small, text_of
 from .substring_dedup import Hashes, mix, windows
 
 #: Similarity in percent, and words a shingle.
@@ -197,8 +197,8 @@ def sets(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
+            for lo, hi in pieces(batch["__text"], 500):
+                part = batch.iloc[lo:hi]
                 rows: list[tuple] = []
                 for text in part["__text"].tolist():
                     s = shingles(split_lower(text), known, n)
@@ -234,8 +234,8 @@ def _contents(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
+            for lo, hi in pieces(batch["__text"], 500):
+                part = batch.iloc[lo:hi]
                 yield pd.DataFrame({"__s": part["__s"], "__set": [shingles(split_lower(t), known, n).view(np.int64) for t in part["__text"].tolist()]})
         known.clear()
         give_back()

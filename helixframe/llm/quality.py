@@ -6,7 +6,9 @@ is the length-weighted mean of the lines' forward-backward marginals, put on the
 scale of the labels by a logistic function that is fitted with the field.
 
 Edge cases: null text is empty and has one empty line; without labels of both
-kinds every score is 0.5.
+kinds every score is 0.5.  A very long text is one sequence, scored whole, in a
+batch of its own.  Repeated rows are scored each, alike; an empty table gives no
+rows; only doc_id and text are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import held_out, labelled_sample, read, text_of
+from .common import held_out, labelled_sample, pieces, read, text_of
 
 #: The model is fitted on at most so many labelled rows of either label.
 SAMPLE_PER_CLASS = 800
@@ -145,8 +147,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k in range(0, len(batch), _DOCS):
-                part = batch.iloc[k : k + _DOCS]
+            for lo, hi in pieces(batch["__text"], _DOCS):
+                part = batch.iloc[lo:hi]
                 if model is None:
                     yield pd.DataFrame({"doc_id": part["doc_id"], "score": 0.5, "bad_lines": [[] for _ in range(len(part))]})
                     continue

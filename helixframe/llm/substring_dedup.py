@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, read, small, text_of
+from .common import cut, drop, pieces, read, small, text_of
 
 L = 35
 V = 21
@@ -133,8 +133,8 @@ def repeated_blocks(docs: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
+            for lo, hi in pieces(batch["__text"], 500):
+                part = batch.iloc[lo:hi]
                 yield pd.DataFrame({"__k": part["__k"], "__hs": [anchors(known.of(split_words(t))).view(np.int64) for t in part["__text"].tolist()]})
 
     own = cut(docs.where("__d < 2").select("__k", "__text").mapInPandas(emit, "__k long, __hs array<long>").withColumn("__row", F.monotonically_increasing_id()))
@@ -154,9 +154,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
         for batch in batches:
-            for lo in range(0, len(batch), 200):
+            for lo, hi in pieces(batch["__text"], 200):
                 out = []
-                for k, text, d, b in batch.iloc[lo : lo + 200][["__k", "__text", "__d", "__blocks"]].itertuples(index=False, name=None):
+                for k, text, d, b in batch.iloc[lo:hi][["__k", "__text", "__d", "__blocks"]].itertuples(index=False, name=None):
                     h = known.of(split_words(text))
                     p = candidates(len(h), np.unique(np.asarray(b, np.int64)))
                     if not len(p):
