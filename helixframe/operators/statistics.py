@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .relational import rank_globally
@@ -68,6 +68,60 @@ def binned_rates(df: DataFrame, x: str, y: str, label: str, bins: int = 5) -> Da
     return out.withColumnsRenamed({str(i): f"q{i}" for i in range(1, bins + 1)})
 
 
+#: Counts (32 bits) that a task of a bootstrap holds at once, and draws that it takes from its stream at once.
+CELLS, TAKEN = 1 << 25, 1 << 20
+
+
+def _cluster_codes(df: DataFrame, cluster: str) -> DataFrame:
+    """<cluster>, __code: dense codes of the known clusters, from 0, in their order."""
+    return rank_globally(df.select(cluster).where(F.col(cluster).isNotNull()).distinct(), [F.col(cluster)]).withColumnRenamed("__rank", "__code")
+
+
+def _multiplicities(spark: SparkSession, n: int, jobs: int, draws: int, seed: int) -> DataFrame:
+    """__first, __code, __counts: how often ``n`` codes are taken by the draws from ``__first`` on; rows of zeros are left out.
+
+    A row holds as many draws as fit ``CELLS`` counts over all codes.  If one
+    draw does not fit, ranges of codes are tasks of their own, each of which
+    follows its job's whole stream.
+    """
+    block = max(1, min(draws, CELLS // max(1, n)))
+    width = max(1, CELLS)
+    tasks = jobs * max(1, -(-n // width))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column("id").to_pylist():
+                job, low = task % jobs, task // jobs * width
+                size, rng = min(width, n - low), np.random.RandomState(seed + job)
+                for first in range(0, draws if n else 0, block):
+                    counts = np.zeros((min(block, draws - first), size), np.int32)
+                    for one in counts:
+                        for done in range(0, n, TAKEN):
+                            taken = rng.randint(n, size=min(TAKEN, n - done)) - low
+                            np.add.at(one, taken[(taken >= 0) & (taken < size)], np.int32(1))
+                    step = max(1, (1 << 18) // len(counts))
+                    for at in range(0, size, step):
+                        some = counts[:, at : at + step].T
+                        hit = np.flatnonzero(some.any(1))
+                        ends = np.arange(0, (len(hit) + 1) * len(counts), len(counts), dtype=np.int32)
+                        arrays = [pa.array(np.full(len(hit), job * draws + first)), pa.array(low + at + hit), pa.ListArray.from_arrays(ends, some[hit].ravel())]
+                        yield pa.RecordBatch.from_arrays(arrays, ["__first", "__code", "__counts"])
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(count, "__first long, __code long, __counts array<int>")
+
+
+def _weighted_by_draw(coded: DataFrame, n: int, jobs: int, draws: int, seed: int) -> DataFrame:
+    """draw, the columns of ``coded`` but for ``__code``, and ``__m``: each row for each draw that takes its code.
+
+    Spark judges the table of counts by the few rows that its tasks start from
+    and would broadcast it at any size, hence the hint.  Counts meet the rows
+    packed, and are unpacked after the join.
+    """
+    met = coded.join(_multiplicities(coded.sparkSession, n, jobs, draws, seed).hint("merge"), "__code")
+    kept = [c for c in coded.columns if c != "__code"]
+    return met.select("__first", *kept, F.posexplode("__counts").alias("__i", "__m")).where(F.col("__m") > 0).select((F.col("__first") + F.col("__i")).alias("draw"), *kept, F.col("__m").cast("long").alias("__m"))
+
+
 def bootstrap_weights(df: DataFrame, cluster: str, jobs: int = 8, draws: int = 100, seed: int = 42) -> DataFrame:
     """draw, <cluster>, __m: how often each draw takes a cluster; clusters that a draw misses have no row.
 
@@ -75,20 +129,8 @@ def bootstrap_weights(df: DataFrame, cluster: str, jobs: int = 8, draws: int = 1
     turn from NumPy's ``RandomState(seed + j)``, each of as many clusters as
     there are, with replacement; draws are numbered through all jobs.
     """
-    codes = rank_globally(df.select(cluster).where(F.col(cluster).isNotNull()).distinct(), [F.col(cluster)]).withColumnRenamed("__rank", "__code")
-    n = codes.count()
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for job in batch["id"].tolist():
-                rng = np.random.RandomState(seed + job)
-                for d in range(draws if n else 0):
-                    count = np.bincount(rng.randint(n, size=n), minlength=n)
-                    hit = np.flatnonzero(count)
-                    yield pd.DataFrame({"draw": np.full(len(hit), job * draws + d), "__code": hit, "__m": count[hit]})
-
-    weights = df.sparkSession.range(0, jobs, 1, jobs).mapInPandas(draw, "draw long, __code long, __m long")
-    return weights.join(codes, "__code").select("draw", cluster, "__m")
+    codes = _cluster_codes(df, cluster)
+    return _weighted_by_draw(codes, codes.count(), jobs, draws, seed).select("draw", cluster, "__m")
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, scores: Sequence[str] | str, label: str, jobs: int = 8, draws: int = 100, seed: int = 42, groups: Sequence[str] = ()) -> DataFrame:
@@ -99,7 +141,8 @@ def cluster_bootstrap(df: DataFrame, cluster: str, scores: Sequence[str] | str,
     """
     names = [scores] if isinstance(scores, str) else list(scores)
     long = df.select(cluster, label, *groups, F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).cast("double").alias("__score")) for n in names])).alias("__e")).select(cluster, label, *groups, "__e.*")
-    rows = long.join(bootstrap_weights(df, cluster, jobs, draws, seed), cluster)
+    codes = _cluster_codes(df, cluster)
+    rows = _weighted_by_draw(long.join(codes, cluster).drop(cluster), codes.count(), jobs, draws, seed)
     return roc_and_precision(rows, ["draw", *groups, "model"], "__score", label, F.col("__m"))
 
 
